@@ -25,11 +25,12 @@ from kpiforge.functions.columns import month_index, month_label
 
 
 def _months_of(bounds: DataFrame) -> tuple[Column, Column, Column]:
-    """(cal_end, first month index, last month index) as scalar subqueries."""
-    cal_end = bounds.select("cal_end").scalar()
-    lo_m = bounds.select(month_index("cal_start")).scalar()
-    hi_m = bounds.select(month_index("cal_end")).scalar()
-    return cal_end, lo_m, hi_m
+    """(cal_end, first month index, last month index) from one scalar subquery."""
+    b = bounds.select(F.struct(
+        F.col("cal_end").alias("cal_end"),
+        month_index("cal_start").alias("lo_m"),
+        month_index("cal_end").alias("hi_m"))).scalar()
+    return b["cal_end"], b["lo_m"], b["hi_m"]
 
 
 def month_coverage(subs: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,29 +24,44 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def materialize_star(raw: S.RawTables, path: str) -> S.StarSchema:
-    """Build every star table under ``path`` in dependency order; return parquet-backed tables."""
+def materialize_star(raw: S.RawTables, path: str, parallel_jobs: int = 4) -> S.StarSchema:
+    """Build every star table under ``path`` in dependency order; return parquet-backed tables.
+
+    Tables of one wave do not depend on each other and are written as
+    concurrent Spark jobs, so small jobs (lookups, calendar) overlap with the
+    large ones instead of leaving the cluster idle.
+    """
     out: dict[str, DataFrame] = {}
 
-    def put(name: str, df: DataFrame) -> DataFrame:
-        out[name] = write_table(df, f"{path}/{name}")
-        return out[name]
-
-    industry = put("dim_industry", S.dim_industry(raw))
-    plan = put("dim_plan_tier", S.dim_plan_tier(raw))
-    referral = put("dim_referral_source", S.dim_referral_source(raw))
-    reason = put("dim_reason_code", S.dim_reason_code(raw))
-    put("dim_account", S.dim_account(raw, industry, referral, plan))
-    put("dim_date", S.dim_date(raw))
-    put("fact_subscriptions", S.fact_subscriptions(raw, plan))
-    put("fact_feature_usage", S.fact_feature_usage(raw))
-    put("fact_support_tickets", S.fact_support_tickets(raw))
-    put("fact_churn_events", S.fact_churn_events(raw, reason))
-    # The summary is staged without tiers, then the tiers are computed from
-    # the staged copy (thresholds and tiers read the same finished table).
-    base = write_table(S.account_summary_base(raw), f"{path}/_stage_account_summary")
-    put("fact_account_summary", S.with_risk_tier(base, S.risk_thresholds(base)))
-    return S.StarSchema(out)
+    def wave(builders: dict) -> None:
+        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+            futures = {name: pool.submit(write_table, fn(), f"{path}/{name}")
+                       for name, fn in builders.items()}
+            for name, fut in futures.items():
+                out[name] = fut.result()
+
+    # Wave 1: everything that reads only raw tables. The summary is staged
+    # without tiers; thresholds and tiers then read the finished copy.
+    wave({
+        "dim_industry": lambda: S.dim_industry(raw),
+        "dim_plan_tier": lambda: S.dim_plan_tier(raw),
+        "dim_referral_source": lambda: S.dim_referral_source(raw),
+        "dim_reason_code": lambda: S.dim_reason_code(raw),
+        "dim_date": lambda: S.dim_date(raw),
+        "fact_feature_usage": lambda: S.fact_feature_usage(raw),
+        "fact_support_tickets": lambda: S.fact_support_tickets(raw),
+        "_stage_account_summary": lambda: S.account_summary_base(raw),
+    })
+    # Wave 2: joins to the written lookups (their file size decides broadcast).
+    base = out.pop("_stage_account_summary")
+    wave({
+        "dim_account": lambda: S.dim_account(raw, out["dim_industry"], out["dim_referral_source"],
+                                             out["dim_plan_tier"]),
+        "fact_subscriptions": lambda: S.fact_subscriptions(raw, out["dim_plan_tier"]),
+        "fact_churn_events": lambda: S.fact_churn_events(raw, out["dim_reason_code"]),
+        "fact_account_summary": lambda: S.with_risk_tier(base, S.risk_thresholds(base)),
+    })
+    return S.StarSchema({n: out[n] for n in S.STAR_TABLES})
 
 
 _cache: dict[tuple[str, str], S.StarSchema] = {}

@@ -21,6 +21,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    Parquet splits only at row-group boundaries, so a small file written as
+    one row group is read by a single task and everything up to the first
+    shuffle would run serially. Such a scan is redistributed round-robin;
+    a large, well-split input (the normal case at scale) is left untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, cores // 2):
+        return df.repartition(cores)
+    return df
+
+
 def resolve_source(spark: SparkSession, root: str, logical: str, fmt: str,
                    prefixes: Iterable[str] = ()) -> str:
     """First existing path among ``<root>/<name>`` and ``<root>/<prefix><name>``.
@@ -48,7 +62,7 @@ def read_raw_table(spark: SparkSession, path: str, schema: T.StructType,
                 .option("mode", "FAILFAST")
                 .csv(path))
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = ensure_parallel(spark.read.parquet(path))
         require_columns({path: df}, {path: schema.fieldNames()})
         return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     raise ValueError(f"unsupported format {fmt!r}")

@@ -135,9 +135,10 @@ def churn_events(orders: DataFrame) -> DataFrame:
 def raw_from_testdata(spark: SparkSession, sf_dir: str):
     """The five raw tables derived from ``<sf_dir>/{customer,orders,lineitem,events}.parquet``."""
     from kpiforge.plans.star import RawTables
+    from kpiforge.sources.files import ensure_parallel
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
     orders = read("orders")
     return RawTables(
