@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The source workload is a batch rebuild followed by read-only queries: it
+has no event-time, watermark, window-over-stream or state semantics, so no
+streaming operator is provided. An incremental refresh would re-run the
+batch job of ``kpiforge.plans.build`` on new raw files.
+"""

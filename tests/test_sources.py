@@ -90,3 +90,18 @@ def test_parquet_source_and_idempotent_rebuild(spark):
     assert first == second
     assert set(first) >= {"dim_account", "fact_account_summary"}
     assert len(RAW_NAMES) == 5
+
+
+def test_end_to_end_job_from_csv(spark):
+    from kpiforge.plans.build import run
+
+    root = tempfile.mkdtemp(prefix="csvsrc-")
+    _write_csvs(root)
+    out = tempfile.mkdtemp(prefix="job-")
+    paths = run(spark, root, "csv", out)
+    assert len(paths) == 25
+    counts = dict(spark.read.parquet(paths["table_row_counts"]).collect())
+    assert counts["fact_feature_usage"] == 1 and counts["dim_account"] == 2
+    again = run(spark, root, "csv", out)  # idempotent re-run over the same folder
+    assert sorted(spark.read.parquet(again["kpi_executive_overview"]).collect()) == \
+        sorted(spark.read.parquet(paths["kpi_executive_overview"]).collect())
