@@ -36,24 +36,31 @@ def main() -> None:
     root = checkpoint_root(spark)
     path = tempfile.mkdtemp(prefix="bench-star-", dir=root.replace("file:", ""))
 
-    times: dict[str, float] = {}
-    t0 = time.perf_counter()
-    star = materialize_star(raw_from_testdata(spark, sf_dir), path)
-    times["build_star_schema"] = time.perf_counter() - t0
-
-    for name, fn in {**CHECKS, **KPIS}.items():
-        t = time.perf_counter()
-        run(fn(star))
-        times[name] = time.perf_counter() - t
+    def one_pass(tag: str) -> dict[str, float]:
+        times: dict[str, float] = {}
+        t0 = time.perf_counter()
+        star = materialize_star(raw_from_testdata(spark, sf_dir), f"{path}/{tag}")
+        times["build_star_schema"] = time.perf_counter() - t0
+        for name, fn in {**CHECKS, **KPIS}.items():
+            t = time.perf_counter()
+            run(fn(star))
+            times[name] = time.perf_counter() - t
+        return times
 
+    # Pass 1 starts from a cold JVM (class loading, JIT, codegen caches);
+    # pass 2 repeats the identical work in the same session. Both are reported.
+    cold = one_pass("cold")
+    times = one_pass("warm") if os.environ.get("BENCH_PASSES", "2") != "1" else cold
     kpi_total = sum(v for k, v in times.items() if k in KPIS)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
-        "metric": "build_plus_all_queries_sec",
+        "metric": "build_plus_all_queries_sec_warm",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": {k: round(v, 3) for k, v in times.items()},
         "kpi_total_sec": round(kpi_total, 3),
+        "cold_pass_sec": round(sum(cold.values()), 3),
+        "cold_queries": {k: round(v, 3) for k, v in cold.items()},
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }))

@@ -28,16 +28,12 @@ def churned_subscriptions(subs: DataFrame) -> DataFrame:
     return subs.where(F.col("churn_flag") & F.col("end_date").isNotNull())
 
 
-def churned_mrr_by_month(subs: DataFrame) -> DataFrame:
-    """ym, churned_mrr: MRR of churned subscriptions by end month."""
+def churned_by_month(subs: DataFrame) -> DataFrame:
+    """ym, churned_mrr, churned_accounts: churned subscriptions by end month
+    (MRR sum, and distinct accounts)."""
     return (churned_subscriptions(subs).groupBy(year_month("end_date").alias("ym"))
-            .agg(F.sum("mrr_amount").alias("churned_mrr")))
-
-
-def churned_accounts_by_month(subs: DataFrame) -> DataFrame:
-    """ym, churned_accounts: distinct accounts with a churned subscription ending that month."""
-    return (churned_subscriptions(subs).groupBy(year_month("end_date").alias("ym"))
-            .agg(F.count_distinct("account_id").alias("churned_accounts")))
+            .agg(F.sum("mrr_amount").alias("churned_mrr"),
+                 F.count_distinct("account_id").alias("churned_accounts")))
 
 
 def mrr_movement(subs: DataFrame) -> DataFrame:
@@ -77,3 +73,17 @@ def latest_subscription(subs: DataFrame) -> DataFrame:
                            [F.col("start_date").desc_nulls_last(),
                             F.col("subscription_id").desc_nulls_last()])
     return latest.select("account_id", "plan_tier_id")
+
+
+# Blocks shared by several KPIs. The warehouse writes them once next to the
+# star tables; a lazily built star schema computes them on demand.
+BLOCKS = {
+    "blk_monthly_snapshot": lambda star: monthly_snapshot(star["fact_subscriptions"],
+                                                          star["dim_date"]),
+    "blk_mrr_movement": lambda star: mrr_movement(star["fact_subscriptions"]),
+    "blk_churned_by_month": lambda star: churned_by_month(star["fact_subscriptions"]),
+}
+
+
+def block(star, name: str) -> DataFrame:
+    return star[name] if name in star else BLOCKS[name](star)

@@ -248,7 +248,7 @@ def kpi_support_vs_churn(star: StarSchema) -> DataFrame:
 def kpi_monthly_mrr_growth(star: StarSchema) -> DataFrame:
     """Month-end active MRR and accounts, ARR snapshot and month-over-month growth.
     Months without an active subscription are absent, so LAG skips them."""
-    snap = B.monthly_snapshot(star["fact_subscriptions"], star["dim_date"])
+    snap = B.block(star, "blk_monthly_snapshot")
     w = Window.orderBy("year_month")  # one row per month: a single small partition
     prev = F.lag("active_mrr").over(w)
     return snap.select(
@@ -261,7 +261,7 @@ def kpi_monthly_mrr_growth(star: StarSchema) -> DataFrame:
 
 
 def kpi_mrr_movement(star: StarSchema) -> DataFrame:
-    m = B.mrr_movement(star["fact_subscriptions"])
+    m = B.block(star, "blk_mrr_movement")
     return m.select(F.col("ym").alias("movement_month"), "new_mrr", "expansion_mrr",
                     "contraction_mrr").orderBy("movement_month")
 
@@ -269,9 +269,8 @@ def kpi_mrr_movement(star: StarSchema) -> DataFrame:
 def kpi_gross_revenue_retention(star: StarSchema) -> DataFrame:
     """Month-end active MRR (named starting_mrr, as in the source) against MRR of
     churned subscriptions ending that month."""
-    fs = star["fact_subscriptions"]
-    snap = B.monthly_snapshot(fs, star["dim_date"])
-    churn = B.churned_mrr_by_month(fs)
+    snap = B.block(star, "blk_monthly_snapshot")
+    churn = B.block(star, "blk_churned_by_month").select("ym", "churned_mrr")
     j = snap.join(churn, snap["year_month"] == churn["ym"], "left")
     churned = F.coalesce(F.col("churned_mrr"), F.lit(0).cast("bigint"))
     return j.select(
@@ -284,9 +283,8 @@ def kpi_ltv_formula(star: StarSchema) -> DataFrame:
     """ARPA of active accounts / mean monthly account churn rate."""
     s = star["fact_account_summary"].where(~_churned_col())
     arpa = s.agg(safe_div(F.sum("total_mrr"), F.count(F.lit(1))).alias("arpa"))
-    fs = star["fact_subscriptions"]
-    snap = B.monthly_snapshot(fs, star["dim_date"])
-    churned = B.churned_accounts_by_month(fs)
+    snap = B.block(star, "blk_monthly_snapshot")
+    churned = B.block(star, "blk_churned_by_month").select("ym", "churned_accounts")
     j = snap.join(churned, snap["year_month"] == churned["ym"], "left")
     rate = j.agg(F.avg(safe_div(F.coalesce("churned_accounts", F.lit(0)), "active_accounts"))
                  .alias("correct_monthly_churn_rate"))
@@ -323,9 +321,8 @@ def kpi_trial_conversion(star: StarSchema) -> DataFrame:
 
 def kpi_quick_ratio(star: StarSchema) -> DataFrame:
     """(new + expansion) / (churned + contraction) for months with a subscription start."""
-    fs = star["fact_subscriptions"]
-    m = B.mrr_movement(fs)
-    c = B.churned_mrr_by_month(fs).withColumnRenamed("ym", "c_ym")
+    m = B.block(star, "blk_mrr_movement")
+    c = B.block(star, "blk_churned_by_month").select(F.col("ym").alias("c_ym"), "churned_mrr")
     j = m.join(c, m["ym"] == c["c_ym"], "left")
     churned = F.coalesce(F.col("churned_mrr"), F.lit(0).cast("bigint"))
     return j.select(

@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import star as S
+from kpiforge.plans.blocks import BLOCKS
 from kpiforge.session import checkpoint_root
 
 
@@ -61,7 +62,10 @@ def materialize_star(raw: S.RawTables, path: str, parallel_jobs: int = 4) -> S.S
         "fact_churn_events": lambda: S.fact_churn_events(raw, out["dim_reason_code"]),
         "fact_account_summary": lambda: S.with_risk_tier(base, S.risk_thresholds(base)),
     })
-    return S.StarSchema({n: out[n] for n in S.STAR_TABLES})
+    # Wave 3: small monthly blocks shared by several KPIs, from the written facts.
+    star = S.StarSchema({n: out[n] for n in S.STAR_TABLES})
+    wave({name: (lambda fn=fn: fn(star)) for name, fn in BLOCKS.items()})
+    return S.StarSchema({n: out[n] for n in (*S.STAR_TABLES, *BLOCKS)})
 
 
 _cache: dict[tuple[str, str], S.StarSchema] = {}
