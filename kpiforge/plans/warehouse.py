@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import threading
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,46 +26,65 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def materialize_star(raw: S.RawTables, path: str, parallel_jobs: int = 4) -> S.StarSchema:
-    """Build every star table under ``path`` in dependency order; return parquet-backed tables.
-
-    Tables of one wave do not depend on each other and are written as
-    concurrent Spark jobs, so small jobs (lookups, calendar) overlap with the
-    large ones instead of leaving the cluster idle.
+def _build_plan(raw: S.RawTables) -> dict[str, tuple[tuple[str, ...], Callable]]:
+    """Table -> (tables it reads, builder). Builders get the written tables."""
+    def blk(name: str):
+        return lambda o: BLOCKS[name](S.StarSchema(o))
+
+    return {
+        "dim_industry": ((), lambda o: S.dim_industry(raw)),
+        "dim_plan_tier": ((), lambda o: S.dim_plan_tier(raw)),
+        "dim_referral_source": ((), lambda o: S.dim_referral_source(raw)),
+        "dim_reason_code": ((), lambda o: S.dim_reason_code(raw)),
+        "dim_date": ((), lambda o: S.dim_date(raw)),
+        "fact_feature_usage": ((), lambda o: S.fact_feature_usage(raw)),
+        "fact_support_tickets": ((), lambda o: S.fact_support_tickets(raw)),
+        # The summary is staged without tiers; thresholds and tiers then read
+        # the finished copy.
+        "_stage_account_summary": ((), lambda o: S.account_summary_base(raw)),
+        "dim_account": (("dim_industry", "dim_referral_source", "dim_plan_tier"),
+                        lambda o: S.dim_account(raw, o["dim_industry"], o["dim_referral_source"],
+                                                o["dim_plan_tier"])),
+        "fact_subscriptions": (("dim_plan_tier",),
+                               lambda o: S.fact_subscriptions(raw, o["dim_plan_tier"])),
+        "fact_churn_events": (("dim_reason_code",),
+                              lambda o: S.fact_churn_events(raw, o["dim_reason_code"])),
+        "fact_account_summary": (("_stage_account_summary",),
+                                 lambda o: S.with_risk_tier(o["_stage_account_summary"],
+                                                            S.risk_thresholds(o["_stage_account_summary"]))),
+        # Small monthly blocks shared by several KPIs, from the written facts.
+        "blk_monthly_snapshot": (("fact_subscriptions", "dim_date"), blk("blk_monthly_snapshot")),
+        "blk_mrr_movement": (("fact_subscriptions",), blk("blk_mrr_movement")),
+        "blk_churned_by_month": (("fact_subscriptions",), blk("blk_churned_by_month")),
+    }
+
+
+def materialize_star(raw: S.RawTables, path: str) -> S.StarSchema:
+    """Build every star table under ``path``; return parquet-backed tables.
+
+    Each table is written as its own Spark job as soon as the tables it reads
+    are written (lookups before the joins that use them, facts before the
+    monthly blocks), so independent jobs overlap instead of leaving the
+    cluster idle between steps. Tables that join a lookup read the written
+    lookup, whose file size decides whether it is broadcast.
     """
+    plan = _build_plan(raw)
     out: dict[str, DataFrame] = {}
-
-    def wave(builders: dict) -> None:
-        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
-            futures = {name: pool.submit(write_table, fn(), f"{path}/{name}")
-                       for name, fn in builders.items()}
-            for name, fut in futures.items():
-                out[name] = fut.result()
-
-    # Wave 1: everything that reads only raw tables. The summary is staged
-    # without tiers; thresholds and tiers then read the finished copy.
-    wave({
-        "dim_industry": lambda: S.dim_industry(raw),
-        "dim_plan_tier": lambda: S.dim_plan_tier(raw),
-        "dim_referral_source": lambda: S.dim_referral_source(raw),
-        "dim_reason_code": lambda: S.dim_reason_code(raw),
-        "dim_date": lambda: S.dim_date(raw),
-        "fact_feature_usage": lambda: S.fact_feature_usage(raw),
-        "fact_support_tickets": lambda: S.fact_support_tickets(raw),
-        "_stage_account_summary": lambda: S.account_summary_base(raw),
-    })
-    # Wave 2: joins to the written lookups (their file size decides broadcast).
-    base = out.pop("_stage_account_summary")
-    wave({
-        "dim_account": lambda: S.dim_account(raw, out["dim_industry"], out["dim_referral_source"],
-                                             out["dim_plan_tier"]),
-        "fact_subscriptions": lambda: S.fact_subscriptions(raw, out["dim_plan_tier"]),
-        "fact_churn_events": lambda: S.fact_churn_events(raw, out["dim_reason_code"]),
-        "fact_account_summary": lambda: S.with_risk_tier(base, S.risk_thresholds(base)),
-    })
-    # Wave 3: small monthly blocks shared by several KPIs, from the written facts.
-    star = S.StarSchema({n: out[n] for n in S.STAR_TABLES})
-    wave({name: (lambda fn=fn: fn(star)) for name, fn in BLOCKS.items()})
+    futures: dict[str, Future] = {}
+
+    def task(name: str) -> DataFrame:
+        deps, builder = plan[name]
+        for d in deps:
+            futures[d].result()
+        df = write_table(builder(out), f"{path}/{name}")
+        out[name] = df
+        return df
+
+    with ThreadPoolExecutor(max_workers=len(plan)) as pool:
+        for name in plan:  # dependencies are listed before their users
+            futures[name] = pool.submit(task, name)
+        for fut in futures.values():
+            fut.result()
     return S.StarSchema({n: out[n] for n in (*S.STAR_TABLES, *BLOCKS)})
 
 
