@@ -26,6 +26,23 @@ def stage_raw(raw: RawTables, path: str) -> RawTables:
     return RawTables(**{n: write_table(df, f"{path}/{n}") for n, df in raw.as_dict().items()})
 
 
+class KeyCheckError(RuntimeError):
+    """A star table has NULL or repeated keys (the source fails its primary keys here)."""
+
+
+def validate_keys(star: StarSchema) -> None:
+    """Fail the build when any star table key is NULL or repeated.
+
+    Only the one-row-per-table check result (11 rows) reaches the driver.
+    """
+    from kpiforge.plans.kpis import star_key_checks
+
+    bad = [r.table_name for r in star_key_checks(star).collect()
+           if not (r.key_not_null and r.key_unique)]
+    if bad:
+        raise KeyCheckError(f"key check failed for: {', '.join(bad)}")
+
+
 def write_results(star: StarSchema, path: str) -> dict[str, str]:
     out = {}
     for name, fn in {**CHECKS, **KPIS}.items():
@@ -36,12 +53,14 @@ def write_results(star: StarSchema, path: str) -> dict[str, str]:
 
 
 def run(spark: SparkSession, raw_dir: str, fmt: str, out: str, prefixes=(),
-        exact_int_money: bool = False) -> dict[str, str]:
+        exact_int_money: bool = False, validate: bool = True) -> dict[str, str]:
     out = out.rstrip("/")
     raw = load_raw(spark, raw_dir, fmt, prefixes, exact_int_money)
     if fmt == "csv":
         raw = stage_raw(raw, f"{out}/raw")
     star = materialize_star(raw, f"{out}/star")
+    if validate:
+        validate_keys(star)
     return write_results(star, f"{out}/results")
 
 

@@ -105,3 +105,14 @@ def test_end_to_end_job_from_csv(spark):
     again = run(spark, root, "csv", out)  # idempotent re-run over the same folder
     assert sorted(spark.read.parquet(again["kpi_executive_overview"]).collect()) == \
         sorted(spark.read.parquet(paths["kpi_executive_overview"]).collect())
+
+
+def test_job_fails_on_duplicate_account_keys(spark):
+    from kpiforge.plans.build import KeyCheckError, run
+
+    root = tempfile.mkdtemp(prefix="csvsrc-")
+    _write_csvs(root)
+    with open(os.path.join(root, "accounts.csv"), "a", encoding="utf-8") as f:
+        f.write("A1,Again,Tech,US,2023-01-05,ads,Pro,3,false,true\n")
+    with pytest.raises(KeyCheckError, match="dim_account"):
+        run(spark, root, "csv", tempfile.mkdtemp(prefix="job-"))
