@@ -21,17 +21,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def ensure_parallel(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
+def ensure_parallel(df: DataFrame, max_parts: int = 64) -> DataFrame:
+    """Spread a scan that comes back as a single split.
 
-    Parquet splits only at row-group boundaries, so a small file written as
-    one row group is read by a single task and everything up to the first
-    shuffle would run serially. Such a scan is redistributed round-robin;
-    a large, well-split input (the normal case at scale) is left untouched.
+    Parquet splits only at row-group boundaries, so a file written as one
+    row group is read by one task and everything up to the first shuffle
+    would run serially. Only that case is redistributed (round-robin, at most
+    ``max_parts`` ways); a multi-split scan — every large input — is left as is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, cores // 2):
-        return df.repartition(cores)
+    if df.rdd.getNumPartitions() == 1:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if cores > 1:
+            return df.repartition(min(cores, max_parts))
     return df
 
 
