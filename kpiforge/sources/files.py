@@ -22,17 +22,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def ensure_parallel(df: DataFrame, max_parts: int = 64) -> DataFrame:
-    """Spread a scan that comes back as a single split.
+    """Spread a scan that comes back in only a few splits.
 
     Parquet splits only at row-group boundaries, so a file written as one
-    row group is read by one task and everything up to the first shuffle
-    would run serially. Only that case is redistributed (round-robin, at most
-    ``max_parts`` ways); a multi-split scan — every large input — is left as is.
+    row group is read by one task (however many byte ranges Spark plans for
+    it) and everything up to the first shuffle would run serially. A scan
+    with fewer than half of ``min(cores, max_parts)`` splits is redistributed
+    round-robin to that many partitions; every large, well-split input is
+    left as is.
     """
-    if df.rdd.getNumPartitions() == 1:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if cores > 1:
-            return df.repartition(min(cores, max_parts))
+    target = min(df.sparkSession.sparkContext.defaultParallelism, max_parts)
+    if df.rdd.getNumPartitions() < target // 2:
+        return df.repartition(target)
     return df
 
 
