@@ -210,7 +210,7 @@ def _usage_agg(usage: DataFrame, subs: DataFrame) -> DataFrame:
 def _churn_agg(churn: DataFrame) -> DataFrame:
     reasons = F.expr(
         f"listagg(reason_code, '{K.REASON_SEPARATOR}') "
-        "WITHIN GROUP (ORDER BY churn_date, churn_event_id)")
+        "WITHIN GROUP (ORDER BY churn_date ASC NULLS FIRST, churn_event_id ASC NULLS FIRST)")
     return churn.groupBy("account_id").agg(
         F.min("churn_date").alias("first_churn_date"),
         reasons.alias("churn_reasons"),
