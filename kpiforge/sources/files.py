@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.schemas import RAW_NAMES, raw_schemas
@@ -55,14 +56,37 @@ def resolve_source(spark: SparkSession, root: str, logical: str, fmt: str,
         f"raw table '{logical}' not found under {root} (tried {', '.join(candidates)})")
 
 
+# Spellings accepted for BIT (boolean) columns in text files.
+_TRUE = ["1", "true", "t", "yes", "y"]
+_FALSE = ["0", "false", "f", "no", "n"]
+
+
+def _bit(c: str):
+    v = F.lower(F.trim(F.col(c)))
+    return (F.when(F.col(c).isNull() | (v == ""), F.lit(None).cast("boolean"))
+             .when(v.isin(_TRUE), F.lit(True))
+             .when(v.isin(_FALSE), F.lit(False))
+             .otherwise(F.raise_error(F.concat(F.lit(f"not a boolean in column {c}: "),
+                                               F.col(c)))).cast("boolean"))
+
+
 def read_raw_table(spark: SparkSession, path: str, schema: T.StructType,
                    fmt: str = "csv") -> DataFrame:
-    """Typed read: CSV with a header row, comma, UTF-8, no inference; or Parquet."""
+    """Typed read: CSV with a header row, comma, UTF-8, no inference; or Parquet.
+
+    CSV boolean (BIT) columns accept 1/0 as well as true/false (any case);
+    any other value fails the read, like every other malformed field.
+    """
     if fmt == "csv":
-        return (spark.read.schema(schema)
-                .option("header", True).option("sep", ",").option("encoding", "UTF-8")
-                .option("mode", "FAILFAST")
-                .csv(path))
+        bits = [f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)]
+        text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
+                                    if f.name in bits else f for f in schema.fields])
+        df = (spark.read.schema(text_schema)
+              .option("header", True).option("sep", ",").option("encoding", "UTF-8")
+              .option("mode", "FAILFAST")
+              .csv(path))
+        return df.select([_bit(f.name).alias(f.name) if f.name in bits else F.col(f.name)
+                          for f in schema.fields])
     if fmt == "parquet":
         df = ensure_parallel(spark.read.parquet(path))
         require_columns({path: df}, {path: schema.fieldNames()})

@@ -116,3 +116,19 @@ def test_job_fails_on_duplicate_account_keys(spark):
         f.write("A1,Again,Tech,US,2023-01-05,ads,Pro,3,false,true\n")
     with pytest.raises(KeyCheckError, match="dim_account"):
         run(spark, root, "csv", tempfile.mkdtemp(prefix="job-"))
+
+
+def test_csv_bits_accept_numbers_and_words(spark):
+    root = tempfile.mkdtemp(prefix="csvsrc-")
+    _write_csvs(root)
+    with open(os.path.join(root, "accounts.csv"), "w", encoding="utf-8") as f:
+        f.write("account_id,account_name,industry,country,signup_date,referral_source,plan_tier,"
+                "seats,is_trial,churn_flag\nA1,One,Tech,US,2023-01-05,ads,Pro,3,1,True\n"
+                "A2,Two,,DE,2023-02-01,,Basic,1,0,\n")
+    raw = load_raw(spark, root, "csv")
+    assert rows(raw.accounts.orderBy("account_id"), "is_trial", "churn_flag") == \
+        [(True, True), (False, None)]
+    with open(os.path.join(root, "accounts.csv"), "a", encoding="utf-8") as f:
+        f.write("A3,Three,,DE,2023-02-01,,Basic,1,maybe,0\n")
+    with pytest.raises(Exception, match="not a boolean"):
+        load_raw(spark, root, "csv").accounts.collect()
