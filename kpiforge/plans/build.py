@@ -71,12 +71,17 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--prefix", action="append", default=[],
                     help="alternative file-name prefix of the raw tables (repeatable)")
+    ap.add_argument("--show", action="append", default=[],
+                    help="print this result set after the build (repeatable)")
     args = ap.parse_args(argv)
     from kpiforge.session import get_session
 
     spark = get_session()
-    for name, path in run(spark, args.raw, args.format, args.out, args.prefix).items():
+    paths = run(spark, args.raw, args.format, args.out, args.prefix)
+    for name, path in paths.items():
         print(f"{name}\t{path}")
+    for name in args.show:  # small report tables only
+        spark.read.parquet(paths[name]).show(100, truncate=False)
 
 
 if __name__ == "__main__":

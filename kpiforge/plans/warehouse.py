@@ -88,6 +88,23 @@ def materialize_star(raw: S.RawTables, path: str) -> S.StarSchema:
     return S.StarSchema({n: out[n] for n in (*S.STAR_TABLES, *BLOCKS)})
 
 
+def open_star(spark: SparkSession, path: str) -> S.StarSchema:
+    """Re-open a star schema written by ``materialize_star`` (blocks if present)."""
+    tables = {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in S.STAR_TABLES}
+    for name in BLOCKS:
+        try:
+            tables[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        except Exception:  # an older build without blocks: KPIs compute them
+            pass
+    return S.StarSchema(tables)
+
+
+def register_views(star: S.StarSchema) -> None:
+    """Expose every star table as a temporary view for ad-hoc Spark SQL."""
+    for name, df in star.items():
+        df.createOrReplaceTempView(name)
+
+
 _cache: dict[tuple[str, str], S.StarSchema] = {}
 _lock = threading.Lock()
 

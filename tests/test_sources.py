@@ -132,3 +132,18 @@ def test_csv_bits_accept_numbers_and_words(spark):
         f.write("A3,Three,,DE,2023-02-01,,Basic,1,maybe,0\n")
     with pytest.raises(Exception, match="not a boolean"):
         load_raw(spark, root, "csv").accounts.collect()
+
+
+def test_reopen_star_and_query_with_sql(spark):
+    from kpiforge.plans.warehouse import open_star, register_views
+
+    root = tempfile.mkdtemp(prefix="csvsrc-")
+    _write_csvs(root)
+    out = tempfile.mkdtemp(prefix="star-")
+    built = materialize_star(load_raw(spark, root, "csv"), out)
+    again = open_star(spark, out)
+    assert set(again) == set(built)
+    register_views(again)
+    n = spark.sql("SELECT COUNT(*) FROM fact_account_summary WHERE business_risk_tier IS NOT NULL")
+    assert n.collect()[0][0] == 2
+    assert rows(kpi_executive_overview(again)) == rows(kpi_executive_overview(built))
