@@ -43,3 +43,23 @@ def test_snapshot_matches_range_join(spark, seed):
     want = sorted(tuple(r) for r in brute(subs, bounds)
                   .select("year_month", "active_rows", "active_value", "active_distinct").collect())
     assert got == want
+
+
+def test_snapshot_month_edges(spark):
+    """Ends on, before and after month ends; leap day; calendar ending mid-month."""
+    rows = [
+        ("a", D(2024, 1, 31), D(2024, 1, 31), 1),   # ends exactly on a month end
+        ("a", D(2024, 1, 31), D(2024, 2, 28), 2),   # one day short of Feb's end (leap year)
+        ("b", D(2024, 2, 29), D(2024, 2, 29), 4),   # leap day, one-day subscription
+        ("b", D(2024, 2, 1), D(2024, 1, 15), 8),    # ends before it starts
+        ("c", D(2024, 3, 31), None, 16),            # open, starts on a month end
+        ("c", D(2024, 4, 10), D(2024, 4, 20), 32),  # inside the partial last month, ends on its end
+        ("d", D(2023, 12, 1), D(2024, 4, 21), 64),  # ends after the calendar's last day
+    ]
+    subs = spark.createDataFrame(rows, "k string, start_date date, end_date date, v int")
+    bounds = spark.createDataFrame([(D(2024, 1, 5), D(2024, 4, 20))], "cal_start date, cal_end date")
+    got = sorted(tuple(r) for r in monthly_active(subs, bounds, "v", "k").collect())
+    want = sorted(tuple(r) for r in brute(subs, bounds)
+                  .select("year_month", "active_rows", "active_value", "active_distinct").collect())
+    assert got == want
+    assert [r[0] for r in got] == ["2024-01", "2024-02", "2024-03", "2024-04"]
