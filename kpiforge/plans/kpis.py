@@ -21,7 +21,6 @@ from kpiforge.plans.star import STAR_TABLES, StarSchema, risk_thresholds as _thr
 from kpiforge.schemas import KEYS
 
 
-
 def _churned_col():
     return F.col("churn_flag")
 

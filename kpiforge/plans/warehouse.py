@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import star as S
@@ -94,7 +95,7 @@ def open_star(spark: SparkSession, path: str) -> S.StarSchema:
     for name in BLOCKS:
         try:
             tables[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except Exception:  # an older build without blocks: KPIs compute them
+        except AnalysisException:  # a build without blocks: KPIs compute them
             pass
     return S.StarSchema(tables)
 
