@@ -75,6 +75,21 @@ def latest_subscription(subs: DataFrame) -> DataFrame:
     return latest.select("account_id", "plan_tier_id")
 
 
+def usage_by_account_feature(usage: DataFrame) -> DataFrame:
+    """Usage fact combined per (account, feature, beta flag): row count and sums.
+
+    Three KPIs (top features, beta adoption, usage of churned vs retained
+    accounts) read this instead of the row-level fact; their distinct
+    account counts stay exact because the account is part of the key.
+    """
+    return usage.groupBy("account_id", "feature_name", "is_beta_feature").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum("usage_count").alias("usage_count_sum"),
+        F.sum("usage_duration_secs").alias("duration_sum"),
+        F.sum("error_count").alias("error_sum"),
+    )
+
+
 # Blocks shared by several KPIs. The warehouse writes them once next to the
 # star tables; a lazily built star schema computes them on demand.
 BLOCKS = {
@@ -82,6 +97,8 @@ BLOCKS = {
                                                           star["dim_date"]),
     "blk_mrr_movement": lambda star: mrr_movement(star["fact_subscriptions"]),
     "blk_churned_by_month": lambda star: churned_by_month(star["fact_subscriptions"]),
+    "blk_usage_by_account_feature": lambda star: usage_by_account_feature(
+        star["fact_feature_usage"]),
 }
 
 

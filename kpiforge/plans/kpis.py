@@ -127,23 +127,23 @@ def kpi_mrr_at_risk(star: StarSchema) -> DataFrame:
 # ----------------------------------------------------------- fact-level KPIs
 
 def kpi_top_features(star: StarSchema) -> DataFrame:
-    u = star["fact_feature_usage"]
+    u = B.block(star, "blk_usage_by_account_feature")
     return (u.groupBy("feature_name").agg(
-        F.count(F.lit(1)).alias("usage_events"),
-        F.sum("usage_count").alias("total_usage_count"),
-        F.sum("usage_duration_secs").alias("total_duration_secs"),
-        F.sum("error_count").alias("total_errors"),
+        F.sum("events").alias("usage_events"),
+        F.sum("usage_count_sum").alias("total_usage_count"),
+        F.sum("duration_sum").alias("total_duration_secs"),
+        F.sum("error_sum").alias("total_errors"),
         F.count_distinct("account_id").alias("distinct_accounts_using"),
     ).orderBy(F.col("usage_events").desc(), F.col("feature_name").asc_nulls_first())
      .limit(K.TOP_FEATURES))
 
 
 def kpi_beta_adoption(star: StarSchema) -> DataFrame:
-    u = star["fact_feature_usage"]
+    u = B.block(star, "blk_usage_by_account_feature")
     return u.groupBy("is_beta_feature").agg(
-        F.count(F.lit(1)).alias("usage_events"),
+        F.sum("events").alias("usage_events"),
         F.count_distinct("account_id").alias("distinct_accounts"),
-        F.sum("error_count").alias("total_errors"),
+        F.sum("error_sum").alias("total_errors"),
     )
 
 
@@ -211,8 +211,8 @@ def kpi_plan_tier_funnel(star: StarSchema) -> DataFrame:
 def kpi_usage_churned_vs_retained(star: StarSchema) -> DataFrame:
     """Per churn flag: accounts, mean usage rows and errors among accounts with usage,
     and errors per usage row (+1 in the denominator)."""
-    u = star["fact_feature_usage"].groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("total_usage_events"), F.sum("error_count").alias("total_errors"))
+    u = B.block(star, "blk_usage_by_account_feature").groupBy("account_id").agg(
+        F.sum("events").alias("total_usage_events"), F.sum("error_sum").alias("total_errors"))
     f = star["fact_account_summary"].select("account_id", "churn_flag")
     j = f.join(u, "account_id", "left")
     return j.groupBy("churn_flag").agg(

@@ -57,10 +57,12 @@ def _build_plan(raw: S.RawTables) -> dict[str, tuple[tuple[str, ...], Callable]]
         "blk_monthly_snapshot": (("fact_subscriptions", "dim_date"), blk("blk_monthly_snapshot")),
         "blk_mrr_movement": (("fact_subscriptions",), blk("blk_mrr_movement")),
         "blk_churned_by_month": (("fact_subscriptions",), blk("blk_churned_by_month")),
+        "blk_usage_by_account_feature": (("fact_feature_usage",),
+                                         blk("blk_usage_by_account_feature")),
     }
 
 
-def materialize_star(raw: S.RawTables, path: str) -> S.StarSchema:
+def materialize_star(raw: S.RawTables, path: str, max_concurrent_jobs: int = 4) -> S.StarSchema:
     """Build every star table under ``path``; return parquet-backed tables.
 
     Each table is written as its own Spark job as soon as the tables it reads
@@ -81,8 +83,10 @@ def materialize_star(raw: S.RawTables, path: str) -> S.StarSchema:
         out[name] = df
         return df
 
-    with ThreadPoolExecutor(max_workers=len(plan)) as pool:
-        for name in plan:  # dependencies are listed before their users
+    # Tasks start in submission order, and every table is listed after the
+    # tables it reads, so a task waiting for its inputs never blocks them.
+    with ThreadPoolExecutor(max_workers=max(1, max_concurrent_jobs)) as pool:
+        for name in plan:
             futures[name] = pool.submit(task, name)
         for fut in futures.values():
             fut.result()
