@@ -1,9 +1,6 @@
 """Hand-written fixtures, one per semantic trap of the source workload."""
 
-import datetime as dt
-
 import pytest
-from pyspark.sql import functions as F
 
 from kpiforge.plans import kpis as Q
 from kpiforge.plans.star import build_star
