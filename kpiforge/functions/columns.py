@@ -54,8 +54,13 @@ def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
     same doubles in a different order differ in the last bits, which would
     otherwise decide a tie at the rounding digit differently.
     """
+    def rounded(c: Column) -> Column:
+        # NaN, infinities and magnitudes beyond DECIMAL(38,10) pass through unrounded
+        exact = F.round(c.cast("decimal(38,10)"), places).cast("double")
+        return F.when(F.isnan(c) | (F.abs(c) >= F.lit(1e27)), c).otherwise(exact)
+
     return df.select([
-        F.round(df[f.name].cast("decimal(38,10)"), places).cast("double").alias(f.name)
+        rounded(df[f.name]).alias(f.name)
         if isinstance(f.dataType, T.DoubleType)
         else df[f.name]
         for f in df.schema.fields
