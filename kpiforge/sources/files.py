@@ -22,18 +22,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def ensure_parallel(df: DataFrame, max_parts: int = 64) -> DataFrame:
-    """Spread a scan that comes back in only a few splits.
+def _input_bytes(df: DataFrame) -> int:
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def ensure_parallel(df: DataFrame, max_parts: int = 64,
+                    min_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Spread a scan of at least ``min_bytes`` that comes back in only a few splits.
 
     Parquet splits only at row-group boundaries, so a file written as one
     row group is read by one task (however many byte ranges Spark plans for
-    it) and everything up to the first shuffle would run serially. A scan
-    with fewer than half of ``min(cores, max_parts)`` splits is redistributed
-    round-robin to that many partitions; every large, well-split input is
-    left as is.
+    it) and everything up to the first shuffle would run serially. Such a
+    scan — fewer than half of ``min(cores, max_parts)`` splits — is
+    redistributed round-robin; smaller inputs are cheaper to read serially
+    than to shuffle, and every large, well-split input is left as is.
     """
     target = min(df.sparkSession.sparkContext.defaultParallelism, max_parts)
-    if df.rdd.getNumPartitions() < target // 2:
+    if df.rdd.getNumPartitions() < target // 2 and _input_bytes(df) >= min_bytes:
         return df.repartition(target)
     return df
 

@@ -12,10 +12,15 @@ def test_checkpoint_root_is_read_from_the_session(spark):
 
 def test_single_split_scan_is_spread(spark):
     cores = spark.sparkContext.defaultParallelism
-    one = spark.range(1000).coalesce(1)
-    spread = ensure_parallel(one)
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="onefile-") + "/t"
+    spark.range(1000).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert ensure_parallel(one) is one  # too small to be worth a shuffle
+    spread = ensure_parallel(one, min_bytes=1)
     if cores >= 4:
         assert spread.rdd.getNumPartitions() == min(cores, 64)
     assert sorted(r[0] for r in spread.collect()) == list(range(1000))
-    many = spark.range(1000).repartition(max(cores, 2))
-    assert ensure_parallel(many) is many
+    many = spark.read.parquet(path).repartition(max(cores, 2))
+    assert ensure_parallel(many, min_bytes=1) is many
