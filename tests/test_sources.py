@@ -147,3 +147,15 @@ def test_reopen_star_and_query_with_sql(spark):
     n = spark.sql("SELECT COUNT(*) FROM fact_account_summary WHERE business_risk_tier IS NOT NULL")
     assert n.collect()[0][0] == 2
     assert rows(kpi_executive_overview(again)) == rows(kpi_executive_overview(built))
+
+
+def test_cli_builds_and_shows(spark, capsys):
+    from kpiforge.plans.build import main
+
+    root = tempfile.mkdtemp(prefix="csvsrc-")
+    _write_csvs(root, prefix="exp_")
+    out = tempfile.mkdtemp(prefix="cli-")
+    main(["--raw", root, "--format", "csv", "--out", out, "--prefix", "exp_",
+          "--show", "kpi_executive_overview"])
+    text = capsys.readouterr().out
+    assert "kpi_quick_ratio\t" in text and "total_accounts" in text
