@@ -147,6 +147,9 @@ def test_empty_tables(spark):
     assert rows(Q.kpi_executive_overview(st)) == [(0, None, None, None, None, None, None)]
     assert rows(Q.kpi_trial_conversion(st)) == [(0, 0, None)]
     assert Q.kpi_monthly_mrr_growth(st).count() == 0
+    assert rows(Q.kpi_ltv_formula(st)) == [(None, None, None)]
+    assert rows(Q.kpi_ltv_empirical(st)) == [(None,)]
+    assert Q.kpi_quick_ratio(st).count() == 0
     assert rows(st["dim_date"]) == []
 
 
