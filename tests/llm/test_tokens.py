@@ -1,0 +1,171 @@
+"""Token files, byte BPE, packing and token counts against the tokenizer libraries."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from kpiforge.llm import bpe, packing, tokencount, tokenfile
+from kpiforge.llm.vocab import rank_encoding, tokenizer
+from kpiforge.llm.wordblocks import blocks, chunk_spans, row_offsets
+
+ALPHABET = list("ab'sdtE é,.1 \n\t ́ß中🙂-")
+
+
+def ids_of(name, text):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
+
+
+def random_texts(n, seed=5, longest=60):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
+
+
+def in_order(texts):
+    return sorted(texts, key=lambda r: -(2**63) if r[0] is None else r[0])
+
+
+def test_token_files_equal_the_library(odd, odd_texts, spark):
+    rows = tokenfile.read_digests(spark, tokenfile.token_files(odd)).orderBy("start").collect()
+    start, seen = 0, []
+    for row in rows:
+        assert row.start == start
+        start += row.n_tokens
+        seen.append((row.doc_id, row.n_tokens, row.ids_crc32))
+    expected = [(i, np.array([*ids_of(tokenfile.TOKENIZER, t), tokenfile.END_ID], "<u4")) for i, t in odd_texts]
+    key = lambda r: (-(2**63) if r[0] is None else r[0], r[1], r[2])
+    assert sorted(seen, key=key) == sorted(((i, len(x), zlib.crc32(x.tobytes())) for i, x in expected), key=key)
+    assert [r.doc_id for r in rows] == [i for i, _ in in_order(odd_texts)]
+
+
+def test_short_documents_are_read_by_index(odd, odd_texts, spark, tmp_path):
+    path = tokenfile.token_files(odd, str(tmp_path / "files"))
+    found = {r.doc_id: r.ids for r in tokenfile.read_documents(spark, path, [3, 12]).collect()}
+    wanted = dict(odd_texts)
+    assert found == {i: [*ids_of(tokenfile.TOKENIZER, wanted[i]), tokenfile.END_ID] for i in (3, 12)}
+
+
+def test_token_files_of_nothing(empty, spark):
+    assert tokenfile.read_digests(spark, tokenfile.token_files(empty)).count() == 0
+
+
+def test_merge_replay_equals_tiktoken():
+    texts = random_texts(1500) + ["a" * 60, "aaaa bbbb" * 30, "\xa0\xa0x  y", "", None]
+    expected = [rank_encoding(bpe.RANKS).encode_ordinary(t or "") for t in texts]
+    got = []
+    for _, _, counts, rows, ids in bpe.encoder().batch(pa.array(texts)):
+        off = row_offsets(counts, rows)
+        got += [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
+    assert got == expected
+    assert [bpe.decode(np.array(g, np.int64))[0].decode() for g in got] == [t or "" for t in texts]
+
+
+def test_byte_bpe_round_trip(odd, odd_texts, empty):
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    expected = []
+    for i, t in odd_texts:
+        ids = np.array(rank_encoding(bpe.RANKS).encode_ordinary(t or ""), "<u4")
+        expected.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(),
+                         hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.round_trip(odd).collect()), key=key) == sorted(expected, key=key)
+    both = bpe.decode_documents(bpe.encode_documents(odd)).collect()
+    assert sorted(bytes(r.bytes) for r in both) == sorted((t or "").encode() for _, t in odd_texts)
+    assert bpe.round_trip(empty).count() == 0
+
+
+def test_packing_is_gapless_and_whole(odd, odd_texts, empty):
+    pieces = packing.packed(odd).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, []).append(p)
+    for own in windows.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= packing.CAPACITY
+    expected = {}
+    for i, t in odd_texts:
+        expected.setdefault((i, len(ids_of(packing.TOKENIZER, t)) + 1), []).append(
+            np.array([*ids_of(packing.TOKENIZER, t), packing.END_ID], "<u4"))
+    lengths = {}
+    for p in pieces:
+        lengths[p.doc_id, p.doc_tokens] = lengths.get((p.doc_id, p.doc_tokens), 0) + p.length
+        ids = expected[p.doc_id, p.doc_tokens]
+        assert any(zlib.crc32(x[p.start:p.start + p.length].tobytes()) == p.ids_crc32 for x in ids)
+    assert lengths == {k: k[1] * len(v) for k, v in expected.items()}
+    assert packing.packed(empty).count() == 0
+
+
+def test_differencing_gives_near_equal_windows():
+    rnd = random.Random(2)
+    sizes = [rnd.randint(1, 256) for _ in range(600)]
+    sums, items = packing.differencing(sizes, 80)
+    assert sorted(k for w in items for k in w) == list(range(600))
+    assert sums.max() - sums.min() <= 12
+    windows = packing.pack(sizes)
+    assert all(sum(sizes[k] for k in w) <= packing.CAPACITY for w in windows)
+    assert len(windows) <= -(-sum(sizes) // packing.CAPACITY) + 2
+    assert packing.pack([]) == [] and packing.pack([5]) == [[0]]
+    assert sorted(map(len, packing.pack([1024, 1024, 1024]))) == [1, 1, 1]
+
+
+def test_little_padding():
+    rnd = random.Random(3)
+    packer = packing._Packer(0, packing.CAPACITY, packing.PIECE, packing.GROUP)
+    for i in range(1000):
+        packer.add(i, np.zeros(rnd.randint(1, 3000), np.uint32))
+    packer.deal()
+    sums = {}
+    for row in packer.rows:
+        sums[row[5]] = sums.get(row[5], 0) + row[2]
+    padded = sum(packing.CAPACITY - s for s in sums.values() if s & (s - 1))
+    assert padded < 0.015 * sum(sums.values())
+
+
+def test_counts_and_recounts(odd, odd_texts, empty):
+    coder = rank_encoding(tokencount.RANKS)
+    rows = tokencount.recounted(tokencount.with_trees(odd, tokencount.redactions)).collect()
+    expected = []
+    for i, t in odd_texts:
+        new = t or ""
+        edits = tokencount.redactions(new)
+        for a, b, text in reversed(edits):
+            new = new[:a] + text + new[b:]
+        expected.append((i, len(coder.encode_ordinary(t or "")), len(edits), len(coder.encode_ordinary(new))))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r)[:4] for r in rows), key=key) == sorted(expected, key=key)
+    assert tokencount.recounted(tokencount.with_trees(empty)).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 3])
+def test_random_edits_keep_the_tree_right(leaf):
+    rnd = random.Random(leaf)
+    coder = rank_encoding(tokencount.RANKS)
+    count = lambda t: len(coder.encode_ordinary(t))
+    for text in random_texts(120, seed=leaf, longest=300):
+        arr = pa.array([text])
+        tree = tokencount.CountTree.build(np.zeros((1, 2), np.int64))
+        for (_, _, data, off), (_, _, counts, _, _) in zip(blocks(arr), bpe.encoder().batch(arr)):
+            starts, ends = chunk_spans(data, off)
+            if len(starts):
+                cut = np.arange(0, len(starts), leaf)
+                size = np.append(starts[cut[1:]], ends[-1]) - starts[cut]
+                tree = tokencount.CountTree.build(
+                    np.stack([size, np.add.reduceat(counts.astype(np.int64), cut)], axis=1))
+        for _ in range(3):
+            at = sorted(rnd.sample(range(len(text) + 1), min(len(text) + 1, 4)))
+            at = at[:len(at) // 2 * 2]
+            edits = [(a, b, "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 5))))
+                     for a, b in zip(at[::2], at[1::2])]
+            expected = text
+            for a, b, new in reversed(edits):
+                expected = expected[:a] + new + expected[b:]
+            text, _ = tokencount.apply_edits(text, tree, edits, count)
+            assert text == expected
+            assert tree.tokens == count(text)
