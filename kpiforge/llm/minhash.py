@@ -4,8 +4,8 @@ A text's shingles are its runs of five words, lower case for A-Z (fewer words:
 one shingle of all of them). Each shingle is hashed once; the high bits choose
 one of ``BINS`` bins and the rest is the value, of which a bin keeps the
 smallest. An empty bin copies the first filled bin of its own random order of
-all bins, the same for every document. The lowest ``BITS`` bits of each bin are
-packed. Two fingerprints agree by chance in 2**-BITS of their bins, so the
+all bins, the same for every document. Values are mixed with their bin's number
+and the lowest ``BITS`` bits of each are packed. Two fingerprints agree by chance in 2**-BITS of their bins, so the
 likeness is (agreement - chance) / (1 - chance), held to 0..1.
 
 Each document is also compared with the next one, in ascending order of
@@ -50,6 +50,11 @@ def _orders(bins: int) -> np.ndarray:
     return np.stack([rng.permutation(bins) for _ in range(bins)], axis=1).astype(np.int32)
 
 
+@lru_cache(maxsize=2)
+def _salts(bins: int) -> np.ndarray:
+    return mix(np.arange(1, bins + 1, dtype=np.uint64) * _FACTORS[0])
+
+
 def shingle_hashes(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle of a block."""
     starts, ends = word_spans(data, off)
@@ -98,7 +103,8 @@ def sketches(texts: pa.Array, bins: int = BINS, bits: int = BITS) -> tuple[np.nd
             hit = filled[row, found]
             source[row[hit], bin_[hit]] = least[row[hit], found[hit]]
             row, bin_ = row[~hit], bin_[~hit]
-        out[i:j] = (source & np.uint64((1 << bits) - 1)).astype(np.uint8)
+        # Mixed with the bin, so that bins that hold one value agree by chance one by one.
+        out[i:j] = (mix(source ^ _salts(bins)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     out[~known] = 0
     return out, known
 
