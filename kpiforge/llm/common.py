@@ -55,6 +55,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000  # rows of a few longs: some tens of MB in each executor
+
+
+def broadcast_if_small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of a few longs a row, marked for broadcast if its counted rows are few.
+
+    Beyond the bound it is left as it is and joined by shuffle.
+    """
+    return F.broadcast(staged) if staged.count() <= rows else staged
+
+
 def map_text(df: DataFrame, columns: list[str], schema: str,
              fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
     """``fn`` over the Arrow batches of the named columns (extra columns are not read)."""

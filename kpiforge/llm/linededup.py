@@ -12,9 +12,9 @@ line is also entered in the class of lines up to t shorter. Edits that spare
 the part up to the prefix's end or from the middle's end leave prefix or suffix
 in place; otherwise each of those parts has an edit, and the middle is whole
 and shifted by at most one. So the index holds three substrings of each
-distinct line, and five are probed. Before texts are fetched, the counts of the
-ten commonest letters must differ by 2t in sum at most. Candidates are verified
-by banded bit-parallel edit distance (one word of 2t + 1 bits slides along the
+distinct line, and five are probed. Texts are fetched for the lines that share
+an index entry; in the join of these the counts of the letters a to z may
+differ by 2t in sum at most. Candidates are verified by banded bit-parallel edit distance (one word of 2t + 1 bits slides along the
 diagonal, one step for each character).
 
 Equality is by 64-bit hash of the line. Exact copies are merged before the
@@ -32,12 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import connected_components, stage
+from kpiforge.llm.common import broadcast_if_small, connected_components, stage
 
 MAX_EDITS = 2
 MIN_CHARS = 24
 CLASS = 24  # width of a length class
-LETTERS = "etaniosrhd"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 NO_DOC = 2**63 - 1
 
@@ -47,24 +47,24 @@ def normal(line: Column) -> Column:
 
 
 def letter_counts(line: Column) -> list[Column]:
-    """Two longs of five letter counts each, 12 bits a count (modulo 4096)."""
+    """Two longs with the counts of a to z, 4 bits each (modulo 16), 13 letters a long."""
     counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") for c in LETTERS]
     packed = []
-    for own in (counts[:5], counts[5:]):
+    for own in (counts[:13], counts[13:]):
         total = F.lit(0).cast("long")
         for k, n in enumerate(own):
-            total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(4095).cast("long")), 12 * k))
+            total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15).cast("long")), 4 * k))
         packed.append(total)
     return packed
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Sum of the differences of five packed counts, never more than the true sum."""
+    """Sum of the differences of 13 packed counts, never more than the true sum."""
     total = F.lit(0).cast("long")
-    mask = F.lit(4095).cast("long")
-    for k in range(5):
-        d = (F.shiftright(a, 12 * k).bitwiseAND(mask) - F.shiftright(b, 12 * k).bitwiseAND(mask)).bitwiseAND(mask)
-        total = total + F.least(d, 4096 - d)
+    mask = F.lit(15).cast("long")
+    for k in range(13):
+        d = (F.shiftright(a, 4 * k).bitwiseAND(mask) - F.shiftright(b, 4 * k).bitwiseAND(mask)).bitwiseAND(mask)
+        total = total + F.least(d, 16 - d)
     return total
 
 
@@ -79,7 +79,7 @@ def _keys(line: Column, n: Column, low: Column) -> Column:
 
 
 def line_table(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """One row per line that takes part: document, position, hash, keys, letter counts."""
+    """One row per line that takes part: document, position, hash, keys."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("hash"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "raw")).where(
@@ -89,30 +89,35 @@ def line_table(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     below = F.greatest(F.col("n") - max_edits, F.lit(MIN_CHARS))
     lower = (below - below % CLASS).cast("int")
     own = _keys(F.col("line"), F.col("n"), low)
-    first, second = letter_counts(F.col("line"))
     return lines.select("doc", "hash", "pos", F.xxhash64("line").alias("lid"), own.alias("keys"),
-                        F.when(lower < low, _keys(F.col("line"), F.col("n"), lower)).alias("lower_keys"),
-                        first.alias("c1"), second.alias("c2"))
+                        F.when(lower < low, _keys(F.col("line"), F.col("n"), lower)).alias("lower_keys"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: smallest document, occurrences, keys (one column each), counts."""
+    """One row per distinct line: smallest document, occurrences, keys (one column each)."""
     keys = [F.min(F.get(c, F.lit(k))).alias(f"{c[0]}{k}") for c in ("keys", "lower_keys") for k in range(5)]
-    return lines.groupBy("lid").agg(F.min("doc").alias("first"), F.count("*").alias("times"), *keys,
-                                    F.min("c1").alias("c1"), F.min("c2").alias("c2"))
+    return lines.groupBy("lid").agg(F.min("doc").alias("first"), F.count("*").alias("times"), *keys)
+
 
+def shared_keys(distinct: DataFrame) -> DataFrame:
+    """(key, lid, probe): the entries of keys that an index entry and another line share."""
+    keys = F.array(*[F.struct(F.col(f"{c}{k}").alias("key"), F.lit(k > 2).alias("probe"))
+                     for c in "kl" for k in range(5)])
+    entries = distinct.select("lid", F.explode(keys).alias("e")).select("e.key", "lid", "e.probe").where("key is not null")
+    shared = entries.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.min("probe").alias("probe"))
+    shared = stage(shared.where("lo < hi and not probe").select("key"), "line-keys")
+    return entries.join(broadcast_if_small(shared), "key")
 
-def candidates(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b), a < b: distinct lines that share a segment and have near letter counts."""
-    def side(count: int, suffix: str) -> DataFrame:
-        keys = F.array(*[F.col(f"{c}{k}") for c in "kl" for k in range(count)])
-        return distinct.select(F.col("lid").alias(f"lid{suffix}"), F.col("c1").alias(f"c1{suffix}"),
-                               F.col("c2").alias(f"c2{suffix}"), F.explode(keys).alias(f"key{suffix}")).where(
-            F.col(f"key{suffix}").isNotNull())
 
+def candidates(members: DataFrame, texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b), a < b: lines that share a key and have near letter counts; ``texts`` has (lid, line)."""
+    first, second = letter_counts(F.col("line"))
+    rows = stage(members.join(texts.select("lid", first.alias("c1"), second.alias("c2")), "lid"), "line-members")
+    a = rows.where("not probe").select("key", F.col("lid").alias("lid_a"), F.col("c1").alias("c1_a"), F.col("c2").alias("c2_a"))
+    b = rows.select("key", F.col("lid").alias("lid_b"), F.col("c1").alias("c1_b"), F.col("c2").alias("c2_b"))
     apart = counts_apart(F.col("c1_a"), F.col("c1_b")) + counts_apart(F.col("c2_a"), F.col("c2_b"))
-    pairs = side(3, "_a").join(side(5, "_b"), (F.col("key_a") == F.col("key_b")) & (F.col("lid_a") != F.col("lid_b"))
-                               & (apart <= 2 * max_edits))
+    pairs = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("lid_a") != F.col("lid_b"))
+                              & (apart <= 2 * max_edits))
     return pairs.select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b")).distinct()
 
 
@@ -172,14 +177,15 @@ def verified(pairs: DataFrame, texts: DataFrame, max_edits: int = MAX_EDITS) ->
     return both.where(within_edits(F.col("xs"), F.col("ys"), F.col("m"), F.col("n"), max_edits)).select("a", "b")
 
 
-def texts_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lid, line) of the lines in ``pairs``, read from the first document that has each."""
-    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    wanted = stage(distinct.select("lid", "first").join(wanted, "lid"), "lines-wanted")
+def texts_of(docs: DataFrame, distinct: DataFrame, lids: DataFrame) -> DataFrame:
+    """(lid, line) of the lines with these hashes, read from the first document that has each."""
+    wanted = stage(distinct.select("lid", "first").join(lids, "lid"), "lines-wanted")
+    sources = stage(wanted.select(F.col("first").alias("doc")).distinct(), "lines-sources")
     key = F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc")
-    rows = docs.select(key, "text").join(wanted.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
+    rows = docs.select(key, "text").join(broadcast_if_small(sources), "doc", "left_semi")
     lines = rows.select(F.explode(F.split("text", "\n")).alias("raw")).select(normal(F.col("raw")).alias("line"))
-    lines = lines.select(F.xxhash64("line").alias("lid"), "line").join(wanted.select("lid"), "lid")
+    lines = lines.select(F.xxhash64("line").alias("lid"), "line").join(
+        broadcast_if_small(wanted.select("lid")), "lid", "left_semi")
     return lines.groupBy("lid").agg(F.min("line").alias("line"))
 
 
@@ -187,8 +193,9 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(doc, hash, drop): positions of the lines to remove, per document that has any."""
     lines = stage(line_table(docs, max_edits), "lines")
     distinct = stage(distinct_lines(lines), "lines-distinct")
-    pairs = stage(candidates(distinct, max_edits), "line-pairs")
-    texts = stage(texts_of(docs, distinct, pairs), "line-texts")
+    members = stage(shared_keys(distinct), "line-entries")
+    texts = stage(texts_of(docs, distinct, members.select("lid").distinct()), "line-texts")
+    pairs = stage(candidates(members, texts, max_edits), "line-pairs")
     classes = connected_components(verified(pairs, texts, max_edits), "line-links").select(
         F.col("node").alias("lid"), "component")
     known = distinct.select("lid", "first", "times").join(classes, "lid", "left").where(
