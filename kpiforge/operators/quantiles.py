@@ -1,17 +1,41 @@
-"""Exact, interpolated percentiles as one-row aggregates."""
+"""Exact, interpolated percentiles without gathering the values in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 1024
 
-def percentile_cont(col: str | Column, p: float) -> Column:
-    """PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col), NULLs ignored.
 
-    Spark's exact ``percentile`` keeps a value -> count map per task and
-    merges the maps, so its memory follows the number of distinct values,
-    not the number of rows. ``percentile_approx`` is not used: it returns
-    an observed value instead of interpolating.
+def percentile_cont(df: DataFrame, column: str, p: float) -> DataFrame:
+    """One row ``value``: PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY column), NULLs ignored.
+
+    Values are counted by a distributed aggregate, the counts are summed in
+    equal-width buckets (at most BUCKETS + 1 rows), and only the buckets that
+    hold the two ranks around p * (n - 1) are put in order. NULL for no values.
     """
-    return F.percentile(col, F.lit(p))
+    counts = (df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+              .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    span = counts.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("s")).scalar()
+    width = span["high"] - span["low"]
+    bucket = F.when(width > 0, F.floor((F.col("v") - span["low"]) / width * BUCKETS)).otherwise(F.lit(0))
+    counts = counts.withColumn("b", bucket.cast("int"))
+    hist = counts.groupBy("b").agg(F.sum("n").alias("rows"))
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select("b", "rows", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before"),
+                       (F.lit(p) * (F.sum("rows").over(Window.partitionBy()) - 1)).alias("rank"))
+    near = hist.where((F.col("before") <= F.ceil("rank")) &
+                      (F.col("before") + F.col("rows") > F.floor("rank")))
+    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(near, "b").select(
+        "v", "n", "rank", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
+
+    def held(rank):
+        return F.max(F.when((F.col("at") <= rank) & (rank < F.col("at") + F.col("n")), F.col("v")))
+
+    found = placed.agg(held(F.floor("rank")).alias("lo"), held(F.ceil("rank")).alias("hi"),
+                       F.max("rank").alias("rank"))
+    mixed = ((F.ceil("rank") - F.col("rank")) * F.col("lo") +
+             (F.col("rank") - F.floor("rank")) * F.col("hi"))
+    return found.select(F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(mixed).alias("value"))

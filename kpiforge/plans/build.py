@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 from kpiforge.plans.kpis import CHECKS, KPIS
 from kpiforge.plans.star import RawTables, StarSchema
-from kpiforge.plans.warehouse import materialize_star, write_table
+from kpiforge.plans.warehouse import materialize_star, open_star, write_table
 from kpiforge.sources.files import load_raw
 
 
@@ -80,8 +80,10 @@ def main(argv=None) -> None:
     paths = run(spark, args.raw, args.format, args.out, args.prefix)
     for name, path in paths.items():
         print(f"{name}\t{path}")
-    for name in args.show:  # small report tables only
-        spark.read.parquet(paths[name]).show(100, truncate=False)
+    star = open_star(spark, f"{args.out.rstrip('/')}/star")
+    for name in args.show:  # whole, in the result's own order
+        result = {**CHECKS, **KPIS}[name](star)
+        result.show(result.count(), truncate=False)
 
 
 if __name__ == "__main__":

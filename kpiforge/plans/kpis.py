@@ -69,27 +69,28 @@ def kpi_executive_overview(star: StarSchema) -> DataFrame:
     )
 
 
-def _segment(star: StarSchema, column: str, name: str, with_avg: bool) -> DataFrame:
-    # The lookup ids are built from this very column, so joining
-    # summary -> dim_account -> lookup and grouping by the lookup name is
-    # the same as grouping the summary by the non-NULL column value. Doing
-    # it this way needs no join of two account-sized tables.
-    s = star["fact_account_summary"].where(F.col(column).isNotNull())
+def _segment(star: StarSchema, lookup: str, key: str, name: str, with_avg: bool) -> DataFrame:
+    """Summary by the segment that the account dimension gives, named by the lookup.
+
+    Rows are combined by segment id first, so the lookup joins a small result.
+    """
+    s = star["fact_account_summary"].join(star["dim_account"].select("account_id", key), "account_id")
     total = F.count(F.lit(1))
     churned = flag_count(_churned_col())
     aggs = [total.alias("account_count"), F.sum("total_mrr").alias("total_mrr")]
     if with_avg:
-        aggs.append(F.avg("total_mrr").alias("avg_mrr_per_account"))
+        aggs.append(safe_div(F.sum("total_mrr"), F.count("total_mrr")).alias("avg_mrr_per_account"))
     aggs += [churned.alias("churned_count"), pct(churned, total).alias("churn_rate_pct")]
-    return s.groupBy(F.col(column).alias(name)).agg(*aggs)
+    segments = s.groupBy(key).agg(*aggs).join(star[lookup], key)
+    return segments.select(name, *[c for c in segments.columns if c not in (key, name)])
 
 
 def kpi_by_industry(star: StarSchema) -> DataFrame:
-    return _segment(star, "industry", "industry_name", True).orderBy(F.col("total_mrr").desc())
+    return _segment(star, "dim_industry", "industry_id", "industry_name", True).orderBy(F.col("total_mrr").desc())
 
 
 def kpi_by_referral_source(star: StarSchema) -> DataFrame:
-    return (_segment(star, "referral_source", "referral_source_name", False)
+    return (_segment(star, "dim_referral_source", "referral_source_id", "referral_source_name", False)
             .orderBy(F.col("churn_rate_pct").asc()))
 
 
@@ -210,13 +211,14 @@ def kpi_plan_tier_funnel(star: StarSchema) -> DataFrame:
 
 def kpi_usage_churned_vs_retained(star: StarSchema) -> DataFrame:
     """Per churn flag: accounts, mean usage rows and errors among accounts with usage,
-    and errors per usage row (+1 in the denominator)."""
+    and errors per usage row (+1 in the denominator). The means are true means
+    (DOUBLE), where the source's integer average truncates."""
     u = B.block(star, "blk_usage_by_account_feature").groupBy("account_id").agg(
         F.sum("events").alias("total_usage_events"), F.sum("error_sum").alias("total_errors"))
     f = star["fact_account_summary"].select("account_id", "churn_flag")
     j = f.join(u, "account_id", "left")
     return j.groupBy("churn_flag").agg(
-        F.count_distinct("account_id").alias("total_accounts"),
+        F.count("account_id").alias("total_accounts"),  # the summary's key, checked unique
         F.avg("total_usage_events").alias("avg_usage_events"),
         F.avg("total_errors").alias("avg_errors"),
         (F.sum("total_errors").cast("double") /

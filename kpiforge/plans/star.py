@@ -208,13 +208,18 @@ def _usage_agg(usage: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def _churn_agg(churn: DataFrame) -> DataFrame:
-    reasons = F.expr(
-        f"listagg(reason_code, '{K.REASON_SEPARATOR}') "
-        "WITHIN GROUP (ORDER BY churn_date ASC NULLS FIRST, churn_event_id ASC NULLS FIRST)")
-    return churn.groupBy("account_id").agg(
+    """Per-account churn. Reasons are listed per day first, so that an account's list is
+    put in order from one entry a day; the listed text itself grows with its events."""
+    def listed(column: str, order: str) -> Column:
+        return F.expr(f"listagg({column}, '{K.REASON_SEPARATOR}') WITHIN GROUP (ORDER BY {order} ASC NULLS FIRST)")
+
+    daily = churn.groupBy("account_id", "churn_date").agg(
+        listed("reason_code", "churn_event_id").alias("reasons"),
+        F.sum("refund_amount_usd").alias("refunds"))
+    return daily.groupBy("account_id").agg(
         F.min("churn_date").alias("first_churn_date"),
-        reasons.alias("churn_reasons"),
-        F.sum("refund_amount_usd").alias("total_refunds"),
+        listed("reasons", "churn_date").alias("churn_reasons"),
+        F.sum("refunds").alias("total_refunds"),
     )
 
 
@@ -226,8 +231,8 @@ def account_summary_base(raw: RawTables) -> DataFrame:
     """One row per account, before risk tiers.
 
     Four per-account aggregates (each a partial + final aggregate keyed by
-    account_id) are left-joined to the accounts; all joins share the
-    account_id partitioning, so each input is shuffled once.
+    account_id) are left-joined to the accounts and share their partitioning
+    by account_id; usage and churn are combined on finer keys before.
     """
     acc = raw.accounts
     s = _subscription_agg(raw.subscriptions)
@@ -263,12 +268,14 @@ def account_summary_base(raw: RawTables) -> DataFrame:
 
 def risk_thresholds(summary: DataFrame) -> DataFrame:
     """One row: satisfaction p10 and p50 (accounts with a score) and escalation p90 (all)."""
-    return summary.agg(
-        percentile_cont("avg_satisfaction", K.SATISFACTION_LOW_PCT).alias("satisfaction_p10"),
-        percentile_cont("avg_satisfaction", K.SATISFACTION_MID_PCT).alias("satisfaction_p50"),
-        percentile_cont(F.col("total_escalations").cast("double"),
-                        K.ESCALATION_HIGH_PCT).alias("escalations_p90"),
-    )
+    wanted = {"satisfaction_p10": ("avg_satisfaction", K.SATISFACTION_LOW_PCT),
+              "satisfaction_p50": ("avg_satisfaction", K.SATISFACTION_MID_PCT),
+              "escalations_p90": ("total_escalations", K.ESCALATION_HIGH_PCT)}
+    rows = None
+    for name, (column, p) in wanted.items():
+        one = percentile_cont(summary, column, p).select(F.lit(name).alias("name"), "value")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in wanted])
 
 
 def with_risk_tier(summary: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -22,33 +22,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def _input_bytes(df: DataFrame) -> int:
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
-def ensure_parallel(df: DataFrame, max_parts: int = 64,
-                    min_bytes: int = 8 * 1024 * 1024) -> DataFrame:
-    """Spread a scan of at least ``min_bytes`` that comes back in only a few splits.
-
-    Parquet splits only at row-group boundaries, so a file written as one
-    row group is read by one task (however many byte ranges Spark plans for
-    it) and everything up to the first shuffle would run serially. Such a
-    scan — fewer than half of ``min(cores, max_parts)`` splits — is
-    redistributed round-robin; smaller inputs are cheaper to read serially
-    than to shuffle, and every large, well-split input is left as is.
-    """
-    target = min(df.sparkSession.sparkContext.defaultParallelism, max_parts)
-    if df.rdd.getNumPartitions() < target // 2 and _input_bytes(df) >= min_bytes:
-        return df.repartition(target)
-    return df
-
-
 def resolve_source(spark: SparkSession, root: str, logical: str, fmt: str,
                    prefixes: Iterable[str] = ()) -> str:
     """First existing path among ``<root>/<name>`` and ``<root>/<prefix><name>``.
@@ -81,25 +54,34 @@ def _bit(c: str):
                                                F.col(c)))).cast("boolean"))
 
 
+def _csv_reader(spark: SparkSession):
+    return spark.read.option("header", True).option("sep", ",").option("encoding", "UTF-8")
+
+
 def read_raw_table(spark: SparkSession, path: str, schema: T.StructType,
                    fmt: str = "csv") -> DataFrame:
     """Typed read: CSV with a header row, comma, UTF-8, no inference; or Parquet.
 
-    CSV boolean (BIT) columns accept 1/0 as well as true/false (any case);
-    any other value fails the read, like every other malformed field.
+    CSV columns are bound by the names in the header: they may come in any
+    order and among others, and a declared column that the header lacks fails
+    here, before anything is built. All files of a table must have the same
+    header; one that differs fails the read. CSV boolean (BIT) columns accept
+    1/0 as well as true/false (any case); any other value fails the read, like
+    every other malformed field.
     """
     if fmt == "csv":
-        bits = [f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)]
-        text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
-                                    if f.name in bits else f for f in schema.fields])
-        df = (spark.read.schema(text_schema)
-              .option("header", True).option("sep", ",").option("encoding", "UTF-8")
-              .option("mode", "FAILFAST")
-              .csv(path))
+        header = _csv_reader(spark).csv(path)
+        require_columns({path: header}, {path: schema.fieldNames()})
+        bits = {f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)}
+        declared = {f.name: f.dataType for f in schema.fields if f.name not in bits}
+        file_schema = T.StructType([T.StructField(c, declared.get(c, T.StringType()), True)
+                                    for c in header.columns])
+        df = (_csv_reader(spark).schema(file_schema).option("enforceSchema", False)
+              .option("mode", "FAILFAST").csv(path))
         return df.select([_bit(f.name).alias(f.name) if f.name in bits else F.col(f.name)
                           for f in schema.fields])
     if fmt == "parquet":
-        df = ensure_parallel(spark.read.parquet(path))
+        df = spark.read.parquet(path)
         require_columns({path: df}, {path: schema.fieldNames()})
         return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     raise ValueError(f"unsupported format {fmt!r}")

@@ -1,26 +1,9 @@
-"""Session helpers: shared checkpoint folder and scan parallelism guard."""
+"""Session helpers: shared checkpoint folder."""
 
 from kpiforge.session import checkpoint_root
-from kpiforge.sources.files import ensure_parallel
 
 
 def test_checkpoint_root_is_read_from_the_session(spark):
     root = checkpoint_root(spark)
     assert root and root == spark.sparkContext.getCheckpointDir()
     assert checkpoint_root(spark) == root  # stable: never replaced once set
-
-
-def test_single_split_scan_is_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="onefile-") + "/t"
-    spark.range(1000).coalesce(1).write.parquet(path)
-    one = spark.read.parquet(path)
-    assert ensure_parallel(one) is one  # too small to be worth a shuffle
-    spread = ensure_parallel(one, min_bytes=1)
-    if cores >= 4:
-        assert spread.rdd.getNumPartitions() == min(cores, 64)
-    assert sorted(r[0] for r in spread.collect()) == list(range(1000))
-    many = spark.read.parquet(path).repartition(max(cores, 2))
-    assert ensure_parallel(many, min_bytes=1) is many
