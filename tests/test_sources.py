@@ -159,3 +159,21 @@ def test_cli_builds_and_shows(spark, capsys):
           "--show", "kpi_executive_overview"])
     text = capsys.readouterr().out
     assert "kpi_quick_ratio\t" in text and "total_accounts" in text
+
+
+def test_csv_columns_are_bound_by_header_name(spark, tmp_path):
+    from kpiforge.schemas import ACCOUNTS
+    from kpiforge.sources.files import read_raw_table
+
+    plain = tmp_path / "a.csv"
+    plain.write_text("account_id,account_name,industry,country,signup_date,referral_source,plan_tier,"
+                     "seats,is_trial,churn_flag\nA1,One,Tech,US,2023-01-05,ads,Pro,3,false,true\n")
+    other = tmp_path / "b.csv"
+    other.write_text("churn_flag,extra,country,industry,account_id,account_name,signup_date,plan_tier,"
+                     "referral_source,seats,is_trial\n1,x,US,Tech,A1,One,2023-01-05,Pro,ads,3,0\n")
+    same = [read_raw_table(spark, str(p), ACCOUNTS).collect() for p in (plain, other)]
+    assert same[0] == same[1]
+    lacking = tmp_path / "c.csv"
+    lacking.write_text("account_id,account_name\nA1,One\n")
+    with pytest.raises(MissingInputError):
+        read_raw_table(spark, str(lacking), ACCOUNTS)
