@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import map_text, ship_package
 from kpiforge.llm.wordblocks import blocks
 
+SALTS = 64  # parts of a language in which its first texts are found
 TRAIN = 256
 LANDMARKS = 24
 MAX_GRAMS = 8192
@@ -160,8 +161,12 @@ def _learnable(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, per_language: int = TRAIN, **options) -> KernelModel | None:
     """Fit the classifier on at most ``per_language`` texts of every language."""
+    # A language may hold most documents: its first texts are found per salt before they meet in one task.
+    first = Window.partitionBy("lang", "salt").orderBy("rank", "doc_id")
     own = Window.partitionBy("lang").orderBy("rank", "doc_id")
     picked = (_learnable(docs).select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct()
+              .withColumn("salt", F.pmod("rank", F.lit(SALTS)))
+              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
               .withColumn("n", F.row_number().over(own)).where(F.col("n") <= per_language)
               .select("doc_id").distinct())
     ids = [r.doc_id for r in picked.collect()]  # bounded by per_language times the languages
