@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import map_text, scratch_path, ship_package, stage
+from kpiforge.llm.common import broadcast_if_small, map_text, scratch_path, ship_package, stage
 from kpiforge.llm.vocab import encode_words, tokenizer
 from kpiforge.llm.wordblocks import BatchEncoder, bare_spans, row_offsets
 
@@ -170,7 +170,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     digest, width, dictionary = _unpacker(spark, path)
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
-    base = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
+    base = broadcast_if_small(stage(
+        parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base")), "part-starts"))
     rows = segments.join(base, "part").select(
         (F.col("base") + F.col("part_start")).alias("start"), "dict_hash", "doc_ids", "offsets", "frames")
 
