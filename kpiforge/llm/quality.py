@@ -56,6 +56,11 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), _RUN, " "))
 
 
+def line_hash(line: Column) -> Column:
+    """The first 60 bits of a normalised line's MD5, which SQL engines share."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
 def lines_of(text: Column) -> Column:
     """The \\n-separated lines that have a word."""
     return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
@@ -97,7 +102,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def entry(line: Column) -> Column:
-        return F.struct(F.xxhash64(line).alias("h"),
+        return F.struct(line_hash(line).alias("h"),
                         (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))
 
     lines = docs.select(
@@ -159,8 +164,67 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     rows = rows.alias("d").join(found.alias("v"), F.expr("d.doc_id <=> v.q_key and d.q_hash = v.q_hash")).select(
         *[F.col(f"d.`{c}`") for c in names], "q_bad")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(
-        "q_bad", F.xxhash64(normal_line(line)))), "\n")
+        "q_bad", line_hash(normal_line(line)))), "\n")
     rows = rows.withColumn("text", F.when(F.col("q_bad").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*names)
+
+
+#: DuckDB SQL for ``verdicts`` over documents.
+VERDICTS_SQL = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS body FROM documents),
+words AS (
+    SELECT rid, unnest(found) AS word, generate_subscripts(found, 1) AS p
+    FROM (SELECT rid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS found FROM docs)),
+windows AS (
+    SELECT rid, p, word AS a, lead(word) OVER w AS b, lead(word, 2) OVER w AS c
+    FROM words WINDOW w AS (PARTITION BY rid ORDER BY p)),
+twice AS (
+    SELECT rid, p FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+covered AS (
+    SELECT rid, count(DISTINCT p + step) AS n FROM twice, (VALUES (0), (1), (2)) s(step) GROUP BY rid),
+lines AS (
+    SELECT rid, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS bare
+    FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+again AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+held AS (
+    SELECT doc_id, host, body, left(md5(lower(bare)), 15) AS h, length(bare) - length(replace(bare, ' ', '')) + 1 AS n
+    FROM lines JOIN docs USING (rid)),
+shared AS (SELECT h FROM held GROUP BY h HAVING count(DISTINCT (doc_id, body)) > 1),
+texts AS (
+    SELECT doc_id, host, body, sum(n) AS n, sum(n) FILTER (s.h IS NOT NULL) AS common, min(s.h) AS lowest
+    FROM held LEFT JOIN shared s USING (h) GROUP BY ALL),
+named AS (
+    SELECT doc_id, host, body, CASE WHEN 2 * common > n THEN 'copy ' || lowest
+        ELSE concat_ws(' ', 'own', coalesce(doc_id::VARCHAR, '-'), md5(body)) END AS who
+    FROM texts),
+hosts AS (SELECT host, count(DISTINCT who) AS n FROM named GROUP BY host),
+above AS (
+    SELECT held.host, h FROM held SEMI JOIN shared USING (h)
+    JOIN named ON held.doc_id IS NOT DISTINCT FROM named.doc_id AND held.host IS NOT DISTINCT FROM named.host
+        AND held.body = named.body
+    JOIN hosts ON held.host IS NOT DISTINCT FROM hosts.host
+    GROUP BY held.host, h, hosts.n
+    HAVING count(DISTINCT who) > {MIN_DOCS} AND count(DISTINCT who) > {HOST_SHARE}::DOUBLE * hosts.n),
+cut AS (
+    SELECT doc_id, body, sum(held.n) AS n FROM held
+    JOIN above ON held.h = above.h AND held.host IS NOT DISTINCT FROM above.host GROUP BY ALL),
+base AS (
+    SELECT d.rid, d.doc_id, d.body, len(regexp_extract_all(d.body, '[^\x20\x09-\x0D]+')) AS n_words,
+        length(regexp_replace(d.body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(d.body) - length(regexp_replace(d.body, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
+        coalesce(a.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+    FROM docs d LEFT JOIN again a USING (rid) LEFT JOIN covered c USING (rid)),
+judged AS (
+    SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+        least(coalesce(cut.n, 0), n_words) AS n_removed_words
+    FROM base LEFT JOIN cut ON base.doc_id IS NOT DISTINCT FROM cut.doc_id AND base.body = cut.body)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND n_words - n_removed_words >= {KEEP_SHARE}::DOUBLE * n_words AS kept,
+    n_removed_words::BIGINT AS n_removed_words
+FROM judged
+"""

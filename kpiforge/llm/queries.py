@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express an operator."""
-    return {}
+    return {"op6_quality_rules": quality.VERDICTS_SQL}
