@@ -53,8 +53,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = tokencount.with_trees(documents(spark, sf_dir), tokencount.redactions)
-    return tokencount.recounted(trees).drop("tree")
+    return tokencount.edited_counts(documents(spark, sf_dir), tokencount.redactions).drop("tree")
 
 
 def queries() -> dict[str, Query]:

@@ -169,3 +169,11 @@ def test_random_edits_keep_the_tree_right(leaf):
             text, _ = tokencount.apply_edits(text, tree, edits, count)
             assert text == expected
             assert tree.tokens == count(text)
+
+
+def test_edited_counts_equal_the_two_steps(odd, empty):
+    for docs in (odd, empty):
+        one = tokencount.edited_counts(docs, tokencount.redactions)
+        two = tokencount.recounted(tokencount.with_trees(docs, tokencount.redactions))
+        assert one.schema == two.schema
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
