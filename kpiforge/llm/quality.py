@@ -10,11 +10,14 @@ the limit, ``MIN_DOCS`` documents and ``HOST_SHARE`` of the host's documents,
 are removed, and a document that keeps less than ``KEEP_SHARE`` of its words is
 depleted and rejected.
 
-Copies are not distinct documents. A document that consists mostly of lines
-that others have too is counted under the smallest hash of those lines, so a
-group of exact or near copies, however large, counts as few documents, while
-pages that share a header but have text of their own count one each. Whole
-copied documents are left to the near-duplicate stage.
+Copies are not distinct documents: documents of the same lines count as one. So
+do near copies, which have the same lines of other documents and few words of
+their own: at most one in ``WHOLE_OWN`` where those lines are a whole document
+of the host, or one in ``NEAR_OWN`` where at most ``MIN_DOCS`` texts of the host
+have just those lines. More texts around the same lines are pages of a template
+and count one each. Copied documents are left to the near-duplicate stage.
+``VERDICTS_SQL`` merges more: all documents with over half of their words in
+lines of others count under the smallest of these, pages of a template too.
 
 Defined results: a null text has no words and fails; an empty text likewise;
 very long texts are measured whole; rows that repeat doc_id and text are one
@@ -28,13 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import stage
+from kpiforge.llm.common import broadcast_if_small, stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20  # a line in this many documents of a host, or fewer, is never removed
 HOST_SHARE = 0.02  # of the host's documents
 KEEP_SHARE = 0.3  # of a document's words
+NEAR_OWN = 6  # a near copy has at most one in so many words of its own
+WHOLE_OWN = 20  # the same, beside all lines of another document
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -97,6 +102,11 @@ def measured(docs: DataFrame, names: list[str]) -> DataFrame:
         100 * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n_words")))
 
 
+def _set_hash(entries: Column | str) -> Column:
+    """A hash of the set of line hashes ``h`` in an array of structs."""
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(entries, lambda e: e.h))))
+
+
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(q_id, q_hash, q_removed, q_bad): per document with lines above the limit, their words and hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -105,22 +115,36 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float
         return F.struct(line_hash(line).alias("h"),
                         (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))
 
+    def with_set(entries: Column) -> Column:
+        return F.flatten(F.transform(F.array(_set_hash(entries)), lambda held: F.transform(
+            entries, lambda e: F.struct(e.h.alias("h"), e.n.alias("n"), held.alias("held")))))
+
+    # Nested, so that each line is normalised once: a column used twice would be computed twice.
+    entries = F.transform(F.transform(lines_of(text), normal_line), entry)
     lines = docs.select(
         F.col("doc_id").alias("q_id"), F.col("source").alias("q_host"), F.xxhash64(text).alias("q_hash"),
-        F.xxhash64("doc_id", text).alias("q_doc"), F.transform(lines_of(text), normal_line).alias("q_lines"),
-    ).select("q_id", "q_host", "q_hash", "q_doc", F.explode(F.transform("q_lines", entry)).alias("e")).select(
-        "q_id", "q_host", "q_hash", "q_doc", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
-    shared = (lines.groupBy("h").agg(F.min("q_doc").alias("lo"), F.max("q_doc").alias("hi"))
+        F.explode(F.flatten(F.transform(F.array(entries), with_set))).alias("e"),
+    ).select("q_id", "q_host", "q_hash", F.col("e.held").alias("q_text"), F.col("e.h").alias("h"), F.col("e.n").alias("n"))
+    doc = F.xxhash64("q_id", "q_hash")
+    shared = (lines.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
               .where("lo < hi").select("h", F.lit(True).alias("shared")))
     marked = lines.join(shared, "h", "left")
-    per_doc = marked.groupBy("q_id", "q_host", "q_hash", "q_doc").agg(
-        F.sum("n").alias("words"), F.sum(F.when(F.col("shared"), F.col("n"))).alias("shared_words"),
-        F.min(F.when(F.col("shared"), F.col("h"))).alias("lowest"),
+    per_doc = marked.groupBy("q_id", "q_host", "q_hash", "q_text").agg(
+        F.sum("n").alias("words"), F.sum(F.when(F.col("shared"), F.lit(0)).otherwise(F.col("n"))).alias("own"),
         F.collect_list(F.when(F.col("shared"), F.struct("h", "n"))).alias("lines"))
-    copied = F.coalesce(2 * F.col("shared_words") > F.col("words"), F.lit(False))
-    per_doc = stage(per_doc.select(
-        "q_id", "q_host", "q_hash", F.when(copied, F.xxhash64(F.lit("copy"), "lowest")).otherwise(
-            F.col("q_doc")).alias("who"), "lines"), "quality-lines")
+    per_doc = stage(per_doc.withColumn("held", _set_hash("lines")), "quality-lines")
+    # Lines that more texts have, with few words of their own, than a line may be in: templates.
+    near = per_doc.where((F.size("lines") > 0) & (NEAR_OWN * F.col("own") <= F.col("words")))
+    templates = stage(near.groupBy("q_host", "held").agg(
+        F.count_distinct("q_text").alias("texts"), F.max(F.col("own") == 0).alias("whole")).where(
+        F.col("texts") > min_docs).select(F.col("q_host").alias("t_host"), F.col("held").alias("t_held"), "whole"),
+        "quality-templates")
+    per_doc = per_doc.join(broadcast_if_small(templates), F.expr("q_host <=> t_host and held = t_held"), "left")
+    of_whole = F.col("whole") & (WHOLE_OWN * F.col("own") <= F.col("words"))
+    copied = (F.col("own") == 0) | ((NEAR_OWN * F.col("own") <= F.col("words")) & (
+        F.col("whole").isNull() | of_whole))
+    per_doc = per_doc.select("q_id", "q_host", "q_hash", F.when(copied, F.col("held")).otherwise(
+        F.col("q_text")).alias("who"), "lines")
     seen = per_doc.select("q_id", "q_host", "q_hash", "who", F.explode("lines").alias("e")).select(
         "q_id", "q_host", "q_hash", "who", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
     counts = seen.groupBy("q_host", "h").agg(F.count_distinct("who").alias("docs")).where(F.col("docs") > min_docs)

@@ -178,6 +178,26 @@ def test_boilerplate_goes_copies_and_clean_documents_stay(spark):
     assert cleaned[0].n_chars == len(cleaned[0].text) and cleaned[300].text == dict(texts)[300]
 
 
+@pytest.mark.parametrize(("menu_words", "own_words"), [(14, 30), (40, 10), (80, 3)])
+def test_template_pages_count_one_each(spark, menu_words, own_words):
+    rnd = random.Random(menu_words)
+    menu = [words(rnd, menu_words) for _ in range(6)]
+    texts = [(k, "\n".join([*menu, words(rnd, own_words)])) for k in range(60)]
+    texts += [(100 + k, texts[k][1]) for k in range(5)]  # with a copy, no line is a page's own
+    texts += [(200 + k, words(rnd, 90)) for k in range(5)]
+    rows = quality.verdicts(make(spark, texts)).collect()
+    assert {r.doc_id: r.n_removed_words for r in rows} == {k: 6 * menu_words if k < 200 else 0 for k, _ in texts}
+    assert all(r.kept == (r.doc_id >= 200) for r in rows)
+
+
+def test_pages_with_some_lines_of_a_template_count_one_each(spark):
+    rnd = random.Random(16)
+    menu = [words(rnd, 14) for _ in range(20)]
+    texts = [(k, "\n".join([*rnd.sample(menu, 12), words(rnd, 12)])) for k in range(80)]
+    rows = quality.verdicts(make(spark, texts)).collect()
+    assert all(r.n_removed_words == 12 * 14 and not r.kept for r in rows)
+
+
 # --- line dedup ------------------------------------------------------------
 
 def distance(a, b):
