@@ -4,7 +4,8 @@ Base spans are found in the text as it is, leftmost and non-overlapping per
 kind; a match that fails its check is dropped without another try. Disguised
 identifiers are found in a normalised text: a chain of transducers rewrites
 homoglyphs, spelled digits and at/dot disguises, each output character keeping
-the source span that it stands for. The same detectors run on the normalised
+the source span that it stands for. "user @ host.tld" is a disguise; "user at
+host.tld" is prose unless one of its dots is spoken or disguised. The same detectors run on the normalised
 text, and spans that involve rewritten characters are mapped back to the source and added,
 unless they are, or partly overlap, a base span of their kind.
 
@@ -109,7 +110,10 @@ _SPOKEN = re.compile(
     rf"(?P<user>[a-z0-9_%+-]+(?:(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9_%+-]+)*)(?P<at>[ \t]+(?:{_AT_WORDS})[ \t]+|[ \t]*@[ \t]*)"
     rf"(?P<host>[a-z0-9-]+(?:(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9-]+)+)(?![a-z0-9])")
 _SPOKEN_DOT = re.compile(rf"[ \t]+(?:{_DOT_WORDS})[ \t]+")
-_DOT_HINTS = tuple(f"{w}" for w in _DOT_WORDS.split("|"))
+# An at word or a spaced @ before a host: all that _SPOKEN can rewrite but spoken dots around a plain @.
+_SPOKEN_AT = re.compile(rf"(?:[ \t](?:(?:{_AT_WORDS})[ \t]+|@[ \t]*)|@[ \t]+)"
+                        rf"[a-z0-9-]+(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9-]")
+_DECIMAL = re.compile(r"[0-9]+\.[0-9]+")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -174,10 +178,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     low = _lower(text)
-    if ("@" in low or any(w in low for w in ("at", "arroba", "arobase"))) and any(w in low for w in _DOT_HINTS):
-        if _BRACKETED.search(low) or _SPOKEN_DOT.search(low):
-            return True
-    if "[@]" in low or "(@)" in low or "[.]" in low or "(.)" in low or _BRACKETED.search(low):
+    if _BRACKETED.search(low) or _SPOKEN_AT.search(low) or ("@" in low and _SPOKEN_DOT.search(low)):
         return True
     return _HAS_SPELLED.search(low) is not None
 
@@ -215,10 +216,14 @@ def _spelled_digits(line: Aligned) -> None:
 def _spoken(line: Aligned) -> None:
     edits = []
     for m in _SPOKEN.finditer(_lower(line.text)):
-        if m["at"].strip() == "@" and not _SPOKEN_DOT.search(m.group()) and m["at"] == "@":
+        told = _SPOKEN_DOT.search(m.group()) is not None
+        if m["at"] == "@" and not told:
             continue
-        # Without a spoken dot, "at" between words is ordinary prose.
-        if m["at"].strip() != "@" and not _SPOKEN_DOT.search(m["host"]) and "." not in m["host"]:
+        # Without a spoken or rewritten dot, "at" between words is ordinary prose.
+        if m["at"].strip() != "@" and not told and not any(
+                line.changed[i] for i in range(*m.span()) if line.text[i] == "."):
+            continue
+        if not told and _DECIMAL.fullmatch(m["host"]):  # "2 @ 3.50" is a price
             continue
         for name in ("user", "host"):
             low = m.start(name)
