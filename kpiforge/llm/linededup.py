@@ -79,7 +79,9 @@ def _keys(line: Column, n: Column, low: Column) -> Column:
 
 
 def line_table(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """One row per line that takes part: document, position, hash, keys."""
+    """One row per line that takes part: document, position, hash, keys. max_edits is 0, 1 or 2."""
+    if not 0 <= max_edits <= 2:  # three segments, shifts of one at most
+        raise ValueError("max_edits must be 0, 1 or 2")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).alias("hash"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "raw")).where(
