@@ -100,7 +100,7 @@ _GAP = r"(?:[ \t,]*-[ \t]*|[ \t,]+)"
 _SIGN = rf"(?:{_DOT_WORDS}|dash|hyphen|minus)"
 _SPELLED = re.compile(
     rf"(?<!\w)(?:(?:plus{_GAP})|\+[ \t]*)?(?:(?:{_NUMBER}|[0-9]+)(?:{_GAP}{_SIGN}{_GAP}|{_GAP}|\.))*"
-    rf"{_NUMBER}(?:(?:{_GAP}{_SIGN}{_GAP}|{_GAP}|\.)(?:{_NUMBER}|[0-9]+))+(?!\w)")
+    rf"{_NUMBER}(?:(?:{_GAP}{_SIGN}{_GAP}|{_GAP}|\.)(?:{_NUMBER}|[0-9]+))*(?!\w)")
 _HAS_SPELLED = re.compile(rf"(?<!\w){_NUMBER}(?:[\s,.-]+(?:{_SIGN}[\s,-]+)?(?:{_NUMBER}|[0-9]+)(?!\w)){{2}}"
                           rf"|[0-9](?:[\s,.-]+(?:{_SIGN}[\s,-]+)?){_NUMBER}(?!\w)")
 _PIECE = re.compile(rf"{_NUMBER}(?!\w)|{_SIGN}|plus|\+|\.|[0-9]+|{_GAP}")

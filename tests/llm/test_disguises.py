@@ -38,3 +38,11 @@ def test_texts_that_the_gate_passes_over_are_not_rewritten():
         text = "".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "  "]) for _ in range(rnd.randint(2, 9)))
         if not pii.disguised(text):
             assert pii.normalised(text).text == text
+
+
+@pytest.mark.parametrize(("kind", "part"), [
+    ("card", "4111 1111 1111 111 one"), ("phone", "+44 20 7946 095 eight")])
+def test_a_last_spelled_digit_is_read(kind, part):
+    text = f"number {part}, thanks"
+    _, added = pii.find(text)
+    assert [text[a:b] for a, b in added[kind]] == [part]
