@@ -39,6 +39,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole embeddings table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     return f"{checkpoint_root(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex[:12]}"
