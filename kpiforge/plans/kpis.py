@@ -18,7 +18,7 @@ from kpiforge.functions.columns import flag_count, pct, safe_div, year_month
 from kpiforge.operators.checks import key_checks, row_counts
 from kpiforge.plans import blocks as B
 from kpiforge.plans.star import STAR_TABLES, StarSchema, risk_thresholds as _thresholds
-from kpiforge.schemas import KEYS
+from kpiforge.schemas import checked_columns
 
 
 def _churned_col():
@@ -39,15 +39,19 @@ def _by_name(agg: DataFrame, lookup: DataFrame, id_col: str, name_col: str,
 # ------------------------------------------------------------ build outputs
 
 def risk_thresholds(star: StarSchema) -> DataFrame:
-    return _thresholds(star["fact_account_summary"])
+    """The thresholds the tiers were set by (written with the star), or from a summary that is not written."""
+    return star["risk_thresholds"] if "risk_thresholds" in star else _thresholds(star["fact_account_summary"])
 
 
 def table_row_counts(star: StarSchema) -> DataFrame:
-    return row_counts(star, list(STAR_TABLES))
+    tables = {n: star[n] for n in STAR_TABLES}
+    return row_counts(tables, list(STAR_TABLES), star.measured)
 
 
 def star_key_checks(star: StarSchema) -> DataFrame:
-    return key_checks({n: star[n] for n in STAR_TABLES}, KEYS)
+    """Keys of every star table, and the names of the lookups: non-null and unique."""
+    tables = {n: star[n] for n in STAR_TABLES}
+    return key_checks(tables, [(n, c) for n in STAR_TABLES for c in checked_columns(n)], star.measured)
 
 
 # -------------------------------------------------------- summary-level KPIs

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from kpiforge import constants as K
 from kpiforge.functions.columns import flag_count
 from kpiforge.operators.calendar import bounds_from, date_dimension
+from kpiforge.operators.checks import Measured
 from kpiforge.operators.dedupe import first_per_key
 from kpiforge.operators.lookup import attach_id, build_lookup
-from kpiforge.operators.quantiles import percentile_cont
+from kpiforge.operators.quantiles import percentile_cont, percentiles, union_all, value_counts
+from kpiforge.operators.skew import heavy_rows, inner_join_split
 
 LOOKUPS = ("dim_industry", "dim_plan_tier", "dim_referral_source", "dim_reason_code")
 # Table order of the build report (row counts).
@@ -40,10 +42,14 @@ class RawTables:
 
 
 class StarSchema(Mapping):
-    """Name -> DataFrame for the star tables (lazy plans or materialized reads)."""
+    """Name -> DataFrame for the star tables (lazy plans or materialized reads).
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    ``measured`` has what was counted while tables were written, if they were.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], measured: Mapping[str, Measured] | None = None):
         self._t = dict(tables)
+        self.measured = dict(measured or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._t[name]
@@ -63,22 +69,29 @@ class StarSchema(Mapping):
 
 # ---------------------------------------------------------------- lookups
 
-def dim_industry(raw: RawTables) -> DataFrame:
-    return build_lookup(raw.accounts.select("industry"), "industry_id", "industry_name")
+# Lookup -> (raw tables that hold its names, their column).
+LOOKUP_SOURCES = {
+    "dim_industry": (("accounts",), "industry"),
+    "dim_plan_tier": (("accounts", "subscriptions"), "plan_tier"),
+    "dim_referral_source": (("accounts",), "referral_source"),
+    "dim_reason_code": (("churn_events",), "reason_code"),
+}
 
 
-def dim_plan_tier(raw: RawTables) -> DataFrame:
-    names = raw.accounts.select("plan_tier").unionByName(raw.subscriptions.select("plan_tier"))
-    return build_lookup(names, "plan_tier_id", "plan_tier_name")
+def lookup_columns(name: str) -> tuple[str, str]:
+    """Id and name column of a lookup."""
+    stem = name.removeprefix("dim_")
+    return f"{stem}_id", f"{stem}_name"
 
 
-def dim_referral_source(raw: RawTables) -> DataFrame:
-    return build_lookup(raw.accounts.select("referral_source"), "referral_source_id",
-                        "referral_source_name")
+def lookup_names(raw: RawTables, name: str) -> DataFrame:
+    """One column with every occurrence of a lookup's names (also unknown and NULL ones)."""
+    tables, column = LOOKUP_SOURCES[name]
+    return union_all([getattr(raw, t).select(column) for t in tables])
 
 
-def dim_reason_code(raw: RawTables) -> DataFrame:
-    return build_lookup(raw.churn_events.select("reason_code"), "reason_code_id", "reason_code_name")
+def dim_lookup(raw: RawTables, name: str) -> DataFrame:
+    return build_lookup(lookup_names(raw, name), *lookup_columns(name))
 
 
 # ------------------------------------------------------------- dimensions
@@ -134,11 +147,32 @@ USAGE_SURVIVOR_ORDER = ("usage_date", "feature_name", "usage_count", "usage_dura
                         "error_count", "subscription_id", "is_beta_feature")
 
 
-def fact_feature_usage(raw: RawTables) -> DataFrame:
-    """Usage rows with their account; rows without a subscription are dropped,
-    then one row per usage_id survives."""
-    sub_accounts = raw.subscriptions.select("subscription_id", "account_id")
-    joined = raw.feature_usage.join(sub_accounts, "subscription_id", "inner")
+def subscription_accounts(raw: RawTables) -> DataFrame:
+    return raw.subscriptions.select("subscription_id", "account_id")
+
+
+def hot_subscriptions(raw: RawTables) -> DataFrame:
+    """(subscription_id, account_id) of subscriptions that hold over a thousandth of the usage rows."""
+    return heavy_rows(raw.feature_usage, subscription_accounts(raw), "subscription_id")
+
+
+def usage_with_account(raw: RawTables, hot: DataFrame | None = None) -> DataFrame:
+    """Raw usage rows (duplicates included) with their account; rows without a subscription are dropped.
+
+    The usage fact and the account summary both read it, so the warehouse writes
+    it once. With ``hot`` (the written ``hot_subscriptions``) a subscription with a
+    huge share of the rows is split over all tasks of the join.
+    """
+    accounts = subscription_accounts(raw)
+    if hot is None:
+        return raw.feature_usage.join(accounts, "subscription_id", "inner")
+    return inner_join_split(raw.feature_usage, accounts, "subscription_id", hot,
+                            ["usage_id", "usage_date", "feature_name", "usage_duration_secs"])
+
+
+def fact_feature_usage(raw: RawTables, usage: DataFrame | None = None) -> DataFrame:
+    """One row per usage_id of the usage rows that have a subscription."""
+    joined = usage_with_account(raw) if usage is None else usage
     deduped = first_per_key(joined, ["usage_id"],
                             [F.col(c).asc_nulls_first() for c in USAGE_SURVIVOR_ORDER])
     return deduped.select("usage_id", "subscription_id", "account_id", "usage_date",
@@ -184,25 +218,23 @@ def _ticket_agg(tickets: DataFrame) -> DataFrame:
     )
 
 
-def _usage_agg(usage: DataFrame, subs: DataFrame) -> DataFrame:
+def _usage_agg(usage: DataFrame) -> DataFrame:
     """Per-account usage from the RAW usage rows (duplicates included).
 
-    Usage is first combined per (subscription, feature) — partial
-    aggregation before any shuffle, so a subscription with a huge share of
-    the rows arrives at the join as at most one row per feature.
+    Combined per (account, feature) first, with map-side combine, so an account
+    with a huge share of the rows is one row per feature and map task.
     """
-    per_sub_feature = usage.groupBy("subscription_id", "feature_name").agg(
+    per_feature = usage.groupBy("account_id", "feature_name").agg(
         F.sum("usage_count").alias("n"),
         F.sum("usage_duration_secs").alias("secs"),
         F.sum("error_count").alias("errs"),
         flag_count(F.col("is_beta_feature")).alias("beta_rows"),
     )
-    joined = per_sub_feature.join(subs.select("subscription_id", "account_id"), "subscription_id")
-    return joined.groupBy("account_id").agg(
+    return per_feature.groupBy("account_id").agg(
         F.sum("n").alias("total_usage_events"),
         F.sum("secs").alias("total_duration_secs"),
         F.sum("errs").alias("total_errors"),
-        F.count_distinct("feature_name").alias("distinct_features_used"),
+        F.count("feature_name").alias("distinct_features_used"),
         F.sum("beta_rows").alias("beta_features_used"),
     )
 
@@ -227,8 +259,8 @@ def _zero(c: str, like: str | None = None) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast(like) if like else F.lit(0))
 
 
-def account_summary_base(raw: RawTables) -> DataFrame:
-    """One row per account, before risk tiers.
+def account_summary_base(raw: RawTables, usage: DataFrame | None = None) -> DataFrame:
+    """One row per account, before risk tiers; ``usage`` is the written ``usage_with_account``.
 
     Four per-account aggregates (each a partial + final aggregate keyed by
     account_id) are left-joined to the accounts and share their partitioning
@@ -237,7 +269,7 @@ def account_summary_base(raw: RawTables) -> DataFrame:
     acc = raw.accounts
     s = _subscription_agg(raw.subscriptions)
     t = _ticket_agg(raw.support_tickets)
-    u = _usage_agg(raw.feature_usage, raw.subscriptions)
+    u = _usage_agg(usage_with_account(raw) if usage is None else usage)
     c = _churn_agg(raw.churn_events)
     j = acc.join(s, "account_id", "left").join(t, "account_id", "left") \
            .join(u, "account_id", "left").join(c, "account_id", "left")
@@ -266,14 +298,29 @@ def account_summary_base(raw: RawTables) -> DataFrame:
     )
 
 
+# Result column -> (measure, percentile).
+THRESHOLDS = {"satisfaction_p10": ("avg_satisfaction", K.SATISFACTION_LOW_PCT),
+              "satisfaction_p50": ("avg_satisfaction", K.SATISFACTION_MID_PCT),
+              "escalations_p90": ("total_escalations", K.ESCALATION_HIGH_PCT)}
+
+
 def risk_thresholds(summary: DataFrame) -> DataFrame:
-    """One row: satisfaction p10 and p50 (accounts with a score) and escalation p90 (all)."""
-    return summary.agg(
-        percentile_cont("avg_satisfaction", K.SATISFACTION_LOW_PCT).alias("satisfaction_p10"),
-        percentile_cont("avg_satisfaction", K.SATISFACTION_MID_PCT).alias("satisfaction_p50"),
-        percentile_cont(F.col("total_escalations").cast("double"),
-                        K.ESCALATION_HIGH_PCT).alias("escalations_p90"),
-    )
+    """One row: satisfaction p10 and p50 (accounts with a score) and escalation p90 (all).
+
+    As one aggregate over a summary that is not written; the warehouse selects by
+    rank over written value counts instead (``threshold_counts``, ``thresholds_of``).
+    """
+    return summary.agg(*[percentile_cont(F.col(c).cast("double"), p).alias(a) for a, (c, p) in THRESHOLDS.items()])
+
+
+def threshold_counts(summary: DataFrame) -> DataFrame:
+    """Value counts of the measures behind the thresholds."""
+    return value_counts(summary, {c: F.col(c) for c, _ in THRESHOLDS.values()})
+
+
+def thresholds_of(bucketed: DataFrame) -> DataFrame:
+    """The thresholds from the written, bucketed value counts."""
+    return percentiles(bucketed, [(a, c, p) for a, (c, p) in THRESHOLDS.items()])
 
 
 def with_risk_tier(summary: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -296,8 +343,7 @@ def with_risk_tier(summary: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def build_star(raw: RawTables) -> StarSchema:
     """All star tables as lazy plans over the raw tables."""
-    lk = {"dim_industry": dim_industry(raw), "dim_plan_tier": dim_plan_tier(raw),
-          "dim_referral_source": dim_referral_source(raw), "dim_reason_code": dim_reason_code(raw)}
+    lk = {name: dim_lookup(raw, name) for name in LOOKUPS}
     base = account_summary_base(raw)
     tables = dict(lk)
     tables.update({

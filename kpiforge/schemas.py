@@ -87,3 +87,16 @@ KEYS = {
     "fact_churn_events": "churn_event_id",
     "fact_account_summary": "account_id",
 }
+
+# Columns that must be unique besides the key: each lookup's names.
+UNIQUE_NAMES = {
+    "dim_industry": "industry_name",
+    "dim_plan_tier": "plan_tier_name",
+    "dim_referral_source": "referral_source_name",
+    "dim_reason_code": "reason_code_name",
+}
+
+
+def checked_columns(table: str) -> list[str]:
+    """Columns of a table that are checked to be non-null and unique."""
+    return [c for c in (KEYS.get(table), UNIQUE_NAMES.get(table)) if c]

@@ -1,4 +1,4 @@
-"""Hand-written raw tables for micro fixtures (defaults fill unset columns)."""
+"""Test-data folders, and hand-written raw tables for micro fixtures (defaults fill unset columns)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import datetime as dt
 from kpiforge.plans.star import RawTables
 from kpiforge.schemas import raw_schemas
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
 D = dt.date
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from rawkit import SF_MID
 from kpiforge.plans import kpis as Q
 from kpiforge.plans.warehouse import star_for
 from kpiforge.sources.fixtures import raw_from_testdata

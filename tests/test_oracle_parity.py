@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare, duck
-from conftest import SF_SMALL
+from rawkit import SF_SMALL
 from kpiforge import oracle
 from kpiforge.plans import registry
 

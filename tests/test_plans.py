@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from rawkit import SF_SMALL
 from kpiforge.plans import kpis as Q
 from kpiforge.plans import star as S
 from kpiforge.plans.warehouse import star_for

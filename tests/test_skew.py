@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import compare
-from conftest import SF_MID
+from rawkit import SF_MID
 from kpiforge import oracle
 from kpiforge.plans.kpis import CHECKS, KPIS
 from kpiforge.plans.star import STAR_TABLES, RawTables
