@@ -12,13 +12,13 @@ HEAVY_ROWS = 20_000  # rows of the right side that are sent to every task at mos
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows with a key: fewer than 1 / share of them.
+    """Keys that hold more than ``share`` of all rows: fewer than 1 / share of them.
 
     Reads the key column alone; counts are combined map-side.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    total = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > total * F.lit(share)).select(key)
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > total * F.lit(share)).select(key)
 
 
 def heavy_rows(left: DataFrame, right: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:

@@ -17,7 +17,7 @@ import hashlib
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,36 +60,37 @@ def _block_step(name: str, *reads: str) -> dict[str, Step]:
 
 # Every table is listed after the tables it reads.
 STEPS: dict[str, Step] = {
-    **{k: step for name in S.LOOKUPS for k, step in _lookup_steps(name).items()},
-    "dim_date": Step(("accounts", "subscriptions", "support_tickets", "churn_events"), (),
-                     lambda raw, o: S.dim_date(raw)),
-    # Raw usage meets subscriptions once; the usage fact and the summary read the result.
+    # The longest chain comes first. Raw usage meets subscriptions once; the usage fact and
+    # the summary read the result.
     "_hot_subscriptions": Step(("feature_usage", "subscriptions"), (), lambda raw, o: S.hot_subscriptions(raw)),
     "_usage_with_account": Step(("feature_usage", "subscriptions"), ("_hot_subscriptions",),
                                 lambda raw, o: S.usage_with_account(raw, o["_hot_subscriptions"])),
-    "fact_support_tickets": Step(("support_tickets",), (), lambda raw, o: S.fact_support_tickets(raw)),
-    "fact_feature_usage": Step((), ("_usage_with_account",),
-                               lambda raw, o: S.fact_feature_usage(raw, o["_usage_with_account"])),
     # The summary is staged without tiers; thresholds and tiers then read the finished copy.
     "_account_summary": Step(("accounts", "subscriptions", "support_tickets", "churn_events"), ("_usage_with_account",),
                              lambda raw, o: S.account_summary_base(raw, o["_usage_with_account"])),
     "_threshold_counts": Step((), ("_account_summary",),
                               lambda raw, o: in_buckets(S.threshold_counts(o["_account_summary"]))),
     "risk_thresholds": Step((), ("_threshold_counts",), lambda raw, o: S.thresholds_of(o["_threshold_counts"])),
-    "dim_account": Step(("accounts",), ("dim_industry", "dim_referral_source", "dim_plan_tier"),
-                        lambda raw, o: S.dim_account(raw, o["dim_industry"], o["dim_referral_source"],
-                                                     o["dim_plan_tier"])),
-    "fact_subscriptions": Step(("subscriptions",), ("dim_plan_tier",),
-                               lambda raw, o: S.fact_subscriptions(raw, o["dim_plan_tier"])),
-    "fact_churn_events": Step(("churn_events",), ("dim_reason_code",),
-                              lambda raw, o: S.fact_churn_events(raw, o["dim_reason_code"])),
     "fact_account_summary": Step((), ("_account_summary", "risk_thresholds"),
                                  lambda raw, o: S.with_risk_tier(o["_account_summary"], o["risk_thresholds"])),
+    **{k: step for name in S.LOOKUPS for k, step in _lookup_steps(name).items()},
+    "fact_subscriptions": Step(("subscriptions",), ("dim_plan_tier",),
+                               lambda raw, o: S.fact_subscriptions(raw, o["dim_plan_tier"])),
+    "dim_date": Step(("accounts", "subscriptions", "support_tickets", "churn_events"), (),
+                     lambda raw, o: S.dim_date(raw)),
     # Small monthly blocks shared by several KPIs, from the written facts.
     **_block_step("blk_monthly_snapshot", "fact_subscriptions", "dim_date"),
     **_block_step("blk_mrr_movement", "fact_subscriptions"),
     **_block_step("blk_churned_by_month", "fact_subscriptions"),
+    "fact_feature_usage": Step((), ("_usage_with_account",),
+                               lambda raw, o: S.fact_feature_usage(raw, o["_usage_with_account"])),
     **_block_step("blk_usage_by_account_feature", "fact_feature_usage"),
+    "fact_support_tickets": Step(("support_tickets",), (), lambda raw, o: S.fact_support_tickets(raw)),
+    "fact_churn_events": Step(("churn_events",), ("dim_reason_code",),
+                              lambda raw, o: S.fact_churn_events(raw, o["dim_reason_code"])),
+    "dim_account": Step(("accounts",), ("dim_industry", "dim_referral_source", "dim_plan_tier"),
+                        lambda raw, o: S.dim_account(raw, o["dim_industry"], o["dim_referral_source"],
+                                                     o["dim_plan_tier"])),
 }
 
 #: What a finished star holds; the other steps are scratch of the build.
@@ -136,22 +137,21 @@ def clustered_by_month(df: DataFrame, date: str) -> DataFrame:
 
 
 def _run(steps: list[str], one: Callable[[str], object], jobs: int) -> None:
-    """Call ``one`` for each step once those of ``steps`` that it reads are done, at most ``jobs`` at a time."""
-    futures: dict[str, Future] = {}
-
-    def task(name: str) -> object:
-        for d in STEPS[name].reads:
-            if d in futures:
-                futures[d].result()
-        return one(name)
+    """Call ``one`` for each step once those of ``steps`` that it reads are done, at most ``jobs`` at a time.
 
-    # Tasks start in submission order, and every table is listed after the
-    # tables it reads, so a task waiting for its inputs never blocks them.
+    Of the steps that can run, those listed first are taken first.
+    """
+    open_steps, running, done = list(steps), {}, set()
     with ThreadPoolExecutor(max_workers=max(1, jobs)) as pool:
-        for name in steps:
-            futures[name] = pool.submit(task, name)
-        for fut in futures.values():
-            fut.result()
+        while open_steps or running:
+            ready = [n for n in open_steps if not (set(STEPS[n].reads) & set(steps)) - done]
+            for name in ready[:max(1, jobs) - len(running)]:
+                open_steps.remove(name)
+                running[pool.submit(one, name)] = name
+            ended, _ = wait(running, return_when=FIRST_COMPLETED)
+            for future in ended:
+                done.add(running.pop(future))
+                future.result()
 
 
 def build_version(raw: S.RawTables, folder: str, max_concurrent_jobs: int = MAX_JOBS,
