@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.session import checkpoint_root
@@ -60,6 +60,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_text(rows: DataFrame, names: list[str], text: Column) -> DataFrame:
+    """The columns ``names`` of the struct ``row``, with another text; n_chars follows it where there is one."""
+    rows = rows.select("row", text.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+
+
 BROADCAST_ROWS = 1_000_000  # rows of a few longs: some tens of MB in each executor
 
 
@@ -84,14 +91,17 @@ def map_text(df: DataFrame, columns: list[str], schema: str,
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
+def connected_components(links: DataFrame, label: str = "components", split_hubs: bool = False) -> DataFrame:
     """(node, component) of an undirected graph given as links (a, b) of longs.
 
     component is the smallest node reachable. Alternating large-star and
     small-star steps; every round is a few joins and aggregates on the cluster,
     written to the shared folder, and only its row count and checksum reach
-    the driver. Nodes without a link to another node do not appear.
+    the driver. Nodes without a link to another node do not appear. With
+    ``split_hubs`` the smallest neighbours are written before they are joined
+    with the links, so that Spark can split a node that holds many of the links.
     """
+    settled = (lambda df: stage(df, f"{label}-low")) if split_hubs else (lambda df: df)
     links = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u <> v").distinct(), label)
     before = None
@@ -99,10 +109,10 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
         return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = (both.join(low, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         links = stage(small, label)

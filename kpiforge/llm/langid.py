@@ -24,16 +24,16 @@ rows; extra columns are ignored, and lang is read to learn only.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import map_text, ship_package
+from kpiforge.llm.common import broadcast_if_small, map_text, ship_package, stage
 from kpiforge.llm.wordblocks import blocks
 
 SALTS = 64  # parts of a language in which its first texts are found
@@ -43,7 +43,7 @@ MAX_GRAMS = 8192
 RIDGE = 1e-3
 ROWS = 256  # texts scored by one matrix product
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # as _learnable: the Unicode category, not signs such as a half or a circled one
 
 # Bytes after folding: A-Z and the upper half of U+00C0-U+00DE to lower case, other ASCII to a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -162,23 +162,26 @@ def _learnable(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, per_language: int = TRAIN, **options) -> KernelModel | None:
     """Fit the classifier on at most ``per_language`` texts of every language."""
     # A language may hold most documents: its first texts are found per salt before they meet in one task.
-    first = Window.partitionBy("lang", "salt").orderBy("rank", "doc_id")
-    own = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    picked = (_learnable(docs).select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct()
+    # A row is known by its doc_id, language and text: repeated ids with other texts are texts of their own.
+    order = ("rank", "doc_id", "hash")
+    first = Window.partitionBy("lang", "salt").orderBy(*order)
+    own = Window.partitionBy("lang").orderBy(*order)
+    known = _learnable(docs).select("doc_id", "lang", "text", F.xxhash64("text").alias("hash"))
+    picked = (known.select("doc_id", "lang", "hash", F.xxhash64("doc_id").alias("rank")).distinct()
               .withColumn("salt", F.pmod("rank", F.lit(SALTS)))
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
               .withColumn("n", F.row_number().over(own)).where(F.col("n") <= per_language)
-              .select("doc_id").distinct())
-    ids = [r.doc_id for r in picked.collect()]  # bounded by per_language times the languages
+              .select("doc_id", "lang", "hash"))
+    picked = broadcast_if_small(stage(picked, "langid-picked"))  # per_language rows a language
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [grams(np.frombuffer(t.as_py().encode(), np.uint8)).astype("<i4").tobytes() for t in batch.column(2)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())],
                                           ["doc_id", "lang", "grams"])
 
-    rows = map_text(_learnable(docs).where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]),
+    rows = map_text(known.join(picked, ["doc_id", "lang", "hash"], "left_semi").dropDuplicates(["doc_id", "lang", "hash"]),
                     ["doc_id", "lang", "text"], "doc_id long, lang string, grams binary", run)
-    rows = rows.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").collect()
+    rows = rows.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id", "lang", "grams").collect()
     return fit([(r.lang, np.frombuffer(r.grams, "<i4")) for r in rows], **options)
 
 

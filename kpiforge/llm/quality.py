@@ -10,20 +10,16 @@ the limit, ``MIN_DOCS`` documents and ``HOST_SHARE`` of the host's documents,
 are removed, and a document that keeps less than ``KEEP_SHARE`` of its words is
 depleted and rejected.
 
-Copies are not distinct documents: documents of the same lines count as one. So
-do near copies, which have the same lines of other documents and few words of
-their own: at most one in ``WHOLE_OWN`` where those lines are a whole document
-of the host, or one in ``NEAR_OWN`` where at most ``MIN_DOCS`` texts of the host
-have just those lines. More texts around the same lines are pages of a template
-and count one each. Copied documents are left to the near-duplicate stage.
-``VERDICTS_SQL`` merges more: all documents with over half of their words in
-lines of others count under the smallest of these, pages of a template too.
+Distinct documents are those whose normalised lines differ: rows with equal whole
+texts, but for case and white space, count once. Pages of a template count one
+each, whatever they share; near copies are left to the near-duplicate stage.
 
 Defined results: a null text has no words and fails; an empty text likewise;
-very long texts are measured whole; rows that repeat doc_id and text are one
-document and get one verdict each; rows that share a doc_id but not the text
+very long texts are measured whole; rows that repeat doc_id, source and text are
+one document and get one verdict each; rows that share a doc_id but not the text
 are different documents; a null source is a host of its own; an empty table
-gives no rows; extra columns are passed over (``clean`` returns them).
+gives no rows; extra columns are passed over, whatever their names (``clean``
+returns them unchanged).
 """
 
 from __future__ import annotations
@@ -31,15 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, stage
+from kpiforge.llm.common import broadcast_if_small, stage, with_text
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20  # a line in this many documents of a host, or fewer, is never removed
 HOST_SHARE = 0.02  # of the host's documents
 KEEP_SHARE = 0.3  # of a document's words
-NEAR_OWN = 6  # a near copy has at most one in so many words of its own
-WHOLE_OWN = 20  # the same, beside all lines of another document
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -102,74 +96,51 @@ def measured(docs: DataFrame, names: list[str]) -> DataFrame:
         100 * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n_words")))
 
 
-def _set_hash(entries: Column | str) -> Column:
-    """A hash of the set of line hashes ``h`` in an array of structs."""
-    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(entries, lambda e: e.h))))
-
-
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(q_id, q_hash, q_removed, q_bad): per document with lines above the limit, their words and hashes."""
+    """(q_id, q_host, q_hash, q_removed, q_bad): per document with lines above the limit, their words and hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def entry(line: Column) -> Column:
         return F.struct(line_hash(line).alias("h"),
                         (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))
 
-    def with_set(entries: Column) -> Column:
-        return F.flatten(F.transform(F.array(_set_hash(entries)), lambda held: F.transform(
-            entries, lambda e: F.struct(e.h.alias("h"), e.n.alias("n"), held.alias("held")))))
+    def with_name(entries: Column) -> Column:
+        return F.struct(F.xxhash64(F.transform(entries, lambda e: e.h)).alias("who"), entries.alias("lines"))
 
     # Nested, so that each line is normalised once: a column used twice would be computed twice.
     entries = F.transform(F.transform(lines_of(text), normal_line), entry)
-    lines = docs.select(
-        F.col("doc_id").alias("q_id"), F.col("source").alias("q_host"), F.xxhash64(text).alias("q_hash"),
-        F.explode(F.flatten(F.transform(F.array(entries), with_set))).alias("e"),
-    ).select("q_id", "q_host", "q_hash", F.col("e.held").alias("q_text"), F.col("e.h").alias("h"), F.col("e.n").alias("n"))
-    doc = F.xxhash64("q_id", "q_hash")
-    shared = (lines.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
-              .where("lo < hi").select("h", F.lit(True).alias("shared")))
-    marked = lines.join(shared, "h", "left")
-    per_doc = marked.groupBy("q_id", "q_host", "q_hash", "q_text").agg(
-        F.sum("n").alias("words"), F.sum(F.when(F.col("shared"), F.lit(0)).otherwise(F.col("n"))).alias("own"),
-        F.collect_list(F.when(F.col("shared"), F.struct("h", "n"))).alias("lines"))
-    per_doc = stage(per_doc.withColumn("held", _set_hash("lines")), "quality-lines")
-    # Lines that more texts have, with few words of their own, than a line may be in: templates.
-    near = per_doc.where((F.size("lines") > 0) & (NEAR_OWN * F.col("own") <= F.col("words")))
-    templates = stage(near.groupBy("q_host", "held").agg(
-        F.count_distinct("q_text").alias("texts"), F.max(F.col("own") == 0).alias("whole")).where(
-        F.col("texts") > min_docs).select(F.col("q_host").alias("t_host"), F.col("held").alias("t_held"), "whole"),
-        "quality-templates")
-    per_doc = per_doc.join(broadcast_if_small(templates), F.expr("q_host <=> t_host and held = t_held"), "left")
-    of_whole = F.col("whole") & (WHOLE_OWN * F.col("own") <= F.col("words"))
-    copied = (F.col("own") == 0) | ((NEAR_OWN * F.col("own") <= F.col("words")) & (
-        F.col("whole").isNull() | of_whole))
-    per_doc = per_doc.select("q_id", "q_host", "q_hash", F.when(copied, F.col("held")).otherwise(
-        F.col("q_text")).alias("who"), "lines")
-    seen = per_doc.select("q_id", "q_host", "q_hash", "who", F.explode("lines").alias("e")).select(
-        "q_id", "q_host", "q_hash", "who", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
+    held = docs.select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_host"), F.xxhash64(text).alias("q_hash"),
+                       F.get(F.transform(F.array(entries), with_name), F.lit(0)).alias("e"))
+    per_doc = stage(held, "quality-lines").select("q_id", "q_host", "q_hash", "e.who", "e.lines")
+    seen = per_doc.select("q_id", "q_host", "q_hash", "who", F.posexplode("lines").alias("pos", "e")).select(
+        "q_id", "q_host", "q_hash", "who", "pos", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
+    # Counted by (host, line, document) first, so a line that most documents have is spread over all tasks.
     counts = seen.groupBy("q_host", "h").agg(F.count_distinct("who").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = per_doc.groupBy("q_host").agg(F.count_distinct("who").alias("host_docs"))
+    hosts = per_doc.where(F.size("lines") > 0).groupBy("q_host").agg(F.count_distinct("who").alias("host_docs"))
     above = counts.alias("c").join(hosts.alias("k"), F.expr("c.q_host <=> k.q_host")).where(
-        F.col("docs") > host_share * F.col("host_docs")).select(F.col("c.q_host").alias("q_host"), "h")
-    hits = seen.alias("s").join(above.alias("a"), F.expr("s.h = a.h and s.q_host <=> a.q_host"))
-    return hits.groupBy("q_id", "q_hash").agg(F.sum("n").alias("q_removed"), F.collect_set("s.h").alias("q_bad"))
+        F.col("docs") > host_share * F.col("host_docs")).select(F.col("c.q_host").alias("b_host"), F.col("h").alias("b_h"))
+    # A line above the limit is in a fixed share of its host's documents, so a host has few of them.
+    above = broadcast_if_small(stage(above, "quality-above"))
+    hits = seen.join(above, F.expr("h = b_h and q_host <=> b_host"))
+    once = hits.select("q_id", "q_host", "q_hash", "pos", "h", "n").distinct()
+    return once.groupBy("q_id", "q_host", "q_hash").agg(F.sum("n").alias("q_removed"), F.collect_set("h").alias("q_bad"))
 
 
-def judged(docs: DataFrame, names: list[str], min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE,
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE,
            keep_share: float = KEEP_SHARE) -> DataFrame:
-    """``measured`` with the verdict: q_kept, q_removed (words in removed lines), q_bad (their hashes)."""
-    rows = measured(docs, names).withColumn("q_key", F.col("doc_id"))
+    """``measured`` doc_id and source with the verdict: q_kept, q_removed (words in removed lines), q_bad (their hashes)."""
+    rows = measured(docs, ["doc_id", "source"])
     bad = frequent_lines(docs, min_docs, host_share)
-    # A document given on several rows had its lines counted once for each.
-    rows = rows.alias("m").join(bad.alias("b"), F.expr("m.q_key <=> b.q_id and m.q_hash = b.q_hash"), "left").select(
-        "m.*", F.least(F.coalesce("q_removed", F.lit(0)), "q_n_words").cast("long").alias("q_removed"), "q_bad")
+    rows = rows.alias("m").join(bad.alias("b"), F.expr(
+        "m.doc_id <=> b.q_id and m.q_hash = b.q_hash and m.source <=> b.q_host"), "left").select(
+        "m.*", F.coalesce("q_removed", F.lit(0)).cast("long").alias("q_removed"), "q_bad")
     left = F.col("q_n_words") - F.col("q_removed")
     return rows.withColumn("q_kept", ~F.col("q_base_failed") & (left >= keep_share * F.col("q_n_words")))
 
 
 def verdicts(docs: DataFrame, **limits) -> DataFrame:
     """One row per document: the base measures, base_failed, kept and the words in removed lines."""
-    return judged(docs, ["doc_id"], **limits).select(
+    return judged(docs, **limits).select(
         "doc_id", *[F.col(f"q_{c}").alias(c) for c in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
         F.col("q_removed").alias("n_removed_words"))
@@ -181,18 +152,16 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     The verdicts are written first: a filter on them would otherwise be pushed
     into the measures and compute these again and again.
     """
-    names = docs.columns
-    found = judged(docs, ["doc_id"], **limits).select("q_key", "q_hash", "q_kept", "q_bad")
-    found = stage(found.dropDuplicates(["q_key", "q_hash"]), "quality-verdicts").where("q_kept")
-    rows = docs.withColumn("q_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.alias("d").join(found.alias("v"), F.expr("d.doc_id <=> v.q_key and d.q_hash = v.q_hash")).select(
-        *[F.col(f"d.`{c}`") for c in names], "q_bad")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(
+    found = judged(docs, **limits).select("doc_id", "source", "q_hash", "q_kept", "q_bad")
+    found = stage(found.dropDuplicates(["doc_id", "source", "q_hash"]), "quality-verdicts").where("q_kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
+    rows = rows.alias("d").join(found.alias("v"), F.expr(
+        "d.row.doc_id <=> v.doc_id and d.hash = v.q_hash and d.row.source <=> v.source")).select("d.row", "v.q_bad")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(
         "q_bad", line_hash(normal_line(line)))), "\n")
-    rows = rows.withColumn("text", F.when(F.col("q_bad").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*names)
+    return with_text(rows, docs.columns, F.when(F.col("q_bad").isNull(), text).otherwise(kept))
 
 
 #: DuckDB SQL for ``verdicts`` over documents.
@@ -210,32 +179,24 @@ twice AS (
 covered AS (
     SELECT rid, count(DISTINCT p + step) AS n FROM twice, (VALUES (0), (1), (2)) s(step) GROUP BY rid),
 lines AS (
-    SELECT rid, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS bare
-    FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs)
+    SELECT rid, p, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS bare
+    FROM (SELECT rid, unnest(cut) AS line, generate_subscripts(cut, 1) AS p
+          FROM (SELECT rid, string_split(body, chr(10)) AS cut FROM docs))
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 again AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
 held AS (
-    SELECT doc_id, host, body, left(md5(lower(bare)), 15) AS h, length(bare) - length(replace(bare, ' ', '')) + 1 AS n
+    SELECT rid, p, host, left(md5(lower(bare)), 15) AS h, length(bare) - length(replace(bare, ' ', '')) + 1 AS n
     FROM lines JOIN docs USING (rid)),
-shared AS (SELECT h FROM held GROUP BY h HAVING count(DISTINCT (doc_id, body)) > 1),
-texts AS (
-    SELECT doc_id, host, body, sum(n) AS n, sum(n) FILTER (s.h IS NOT NULL) AS common, min(s.h) AS lowest
-    FROM held LEFT JOIN shared s USING (h) GROUP BY ALL),
-named AS (
-    SELECT doc_id, host, body, CASE WHEN 2 * common > n THEN 'copy ' || lowest
-        ELSE concat_ws(' ', 'own', coalesce(doc_id::VARCHAR, '-'), md5(body)) END AS who
-    FROM texts),
+named AS (SELECT rid, host, string_agg(h, ' ' ORDER BY p) AS who FROM held GROUP BY rid, host),
 hosts AS (SELECT host, count(DISTINCT who) AS n FROM named GROUP BY host),
 above AS (
-    SELECT held.host, h FROM held SEMI JOIN shared USING (h)
-    JOIN named ON held.doc_id IS NOT DISTINCT FROM named.doc_id AND held.host IS NOT DISTINCT FROM named.host
-        AND held.body = named.body
+    SELECT held.host, h FROM held JOIN named USING (rid)
     JOIN hosts ON held.host IS NOT DISTINCT FROM hosts.host
     GROUP BY held.host, h, hosts.n
     HAVING count(DISTINCT who) > {MIN_DOCS} AND count(DISTINCT who) > {HOST_SHARE}::DOUBLE * hosts.n),
 cut AS (
-    SELECT doc_id, body, sum(held.n) AS n FROM held
-    JOIN above ON held.h = above.h AND held.host IS NOT DISTINCT FROM above.host GROUP BY ALL),
+    SELECT rid, sum(held.n) AS n FROM held
+    JOIN above ON held.h = above.h AND held.host IS NOT DISTINCT FROM above.host GROUP BY rid),
 base AS (
     SELECT d.rid, d.doc_id, d.body, len(regexp_extract_all(d.body, '[^\x20\x09-\x0D]+')) AS n_words,
         length(regexp_replace(d.body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
@@ -244,8 +205,8 @@ base AS (
     FROM docs d LEFT JOIN again a USING (rid) LEFT JOIN covered c USING (rid)),
 judged AS (
     SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-        least(coalesce(cut.n, 0), n_words) AS n_removed_words
-    FROM base LEFT JOIN cut ON base.doc_id IS NOT DISTINCT FROM cut.doc_id AND base.body = cut.body)
+        coalesce(cut.n, 0) AS n_removed_words
+    FROM base LEFT JOIN cut USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND n_words - n_removed_words >= {KEEP_SHARE}::DOUBLE * n_words AS kept,

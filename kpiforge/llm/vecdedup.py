@@ -310,7 +310,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, dim: int = DIM, win
     total = vectors.count()
     if total:
         links = verified_links(vectors, passes_for(total, cosine, window, recall), dim, cosine, window, block)
-        member = stage(connected_components(links, "vecdedup-components").select(
+        member = stage(connected_components(links, "vecdedup-components", split_hubs=True).select(
             F.col("node").alias("cls"), "component"), "vecdedup-named")
         counts = stage(links_in_components(member, vectors, dim, cosine, block), "vecdedup-counts")
     else:

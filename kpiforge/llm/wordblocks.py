@@ -7,6 +7,7 @@ per-word Python work is limited to the distinct words of a block.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,15 +119,49 @@ def take_ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return values[index]
 
 
+_SLACK = 8  # bytes behind a buffer, so that eight can be read at any of its places
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a word of eight
+_WORDS = 64  # words of eight bytes compared for many spans at a time; the rest of longer spans one by one
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(_SLACK, np.uint8)])
+
+
+def equal_spans(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray,
+                b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Whether span k of the padded buffer ``a`` has the bytes of span k of the padded buffer ``b``."""
+    same = a_len == b_len
+    at = np.flatnonzero(same)
+    a_words, b_words = (np.ndarray((len(x) - _SLACK + 1,), "<u8", np.ascontiguousarray(x), strides=(1,)) for x in (a, b))
+    for done in range(0, 8 * _WORDS, 8):
+        at = at[a_len[at] > done]
+        if not len(at):
+            return same
+        part = _LOW[np.minimum(a_len[at] - done, 8)]
+        equal = (a_words[a_at[at] + done] ^ b_words[b_at[at] + done]) & part == 0
+        same[at[~equal]] = False
+        at = at[equal]
+    for k in at[a_len[at] > 8 * _WORDS].tolist():
+        n = a_len[k]
+        same[k] = np.array_equal(a[a_at[k]:a_at[k] + n], b[b_at[k]:b_at[k] + n])
+    return same
+
+
+def strong_key(word: bytes, turn: int) -> int:
+    """64-bit key of a word whose hash another word has; ``turn`` gives a new one if that is taken too."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=turn.to_bytes(4, "little")).digest(), "little")
+
+
 class WordTable:
-    """Distinct words seen by this worker: hash -> ids, kept between batches up to a bound.
+    """Distinct words seen by this worker: key -> bytes and ids, kept between batches up to a bound.
 
     A bound on memory only: when it is exceeded the table restarts with the
     words of the batch at hand, and a forgotten word is simply encoded again.
     """
 
-    def __init__(self, limit: int = 1_500_000):
-        self.limit = limit
+    def __init__(self, limit: int = 1_500_000, text_limit: int = 128 << 20):
+        self.limit, self.text_limit = limit, text_limit
         self.clear()
 
     def clear(self) -> None:
@@ -134,25 +169,45 @@ class WordTable:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16)
+        self.text = np.zeros(_SLACK, np.uint8)
+        self.text_at = np.zeros(0, np.int64)
+        self.text_len = np.zeros(0, np.int32)
+
+    def full(self) -> bool:
+        return len(self.keys) > self.limit or len(self.text) > self.text_limit
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted distinct keys are not in the table."""
+        """Which of the keys are not in the table."""
         if len(self.keys) == 0:
             return np.ones(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.keys[at] != keys
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
         ids = np.asarray(ids)
         if len(ids) and ids.max() > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
         start = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        length = np.fromiter(map(len, words), np.int32, len(words))
+        text_at = len(self.text) - _SLACK + np.cumsum(length, dtype=np.int64) - length
+        self.text = np.concatenate([self.text[:-_SLACK], padded(np.frombuffer(b"".join(words), np.uint8))])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys = all_keys[order]
         self.start = np.concatenate([self.start, start])[order]
         self.count = np.concatenate([self.count, counts.astype(np.int32)])[order]
+        self.text_at = np.concatenate([self.text_at, text_at])[order]
+        self.text_len = np.concatenate([self.text_len, length])[order]
+
+    def others(self, keys: np.ndarray, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which keys the table holds for other bytes than those of the spans of the padded ``data``."""
+        held = np.flatnonzero(~self.missing(keys))
+        found = self.find(keys[held])
+        equal = equal_spans(data, at[held], length[held], self.text, self.text_at[found], self.text_len[found])
+        out = np.zeros(len(keys), bool)
+        out[held[~equal]] = True
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys, keys)
@@ -241,6 +296,8 @@ class BatchEncoder:
 
     ``spans`` cuts a block into chunks that can be encoded one by one;
     ``encode`` gives (ids per chunk, all ids) for a list of distinct chunks.
+    Chunks are found by a hash, and their bytes decide: of chunks with one hash
+    and different bytes the first keeps it, the others get keys of their own.
     """
 
     def __init__(self, spans, encode, fold: bool = False, limit: int = 3_000_000):
@@ -251,31 +308,54 @@ class BatchEncoder:
         starts, ends = self.spans(data, off)
         return starts, ends, fold_ascii(data, starts, ends) if self.fold else data
 
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pending: dict[int, bytes]):
+        """(keys, first chunk of each, key number of every chunk); a key stands for one byte string only."""
+        hashes, length = hash_spans(data, starts, ends), ends - starts
+        wide = padded(data)
+        turn = 0
+        while True:
+            keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            of = first[inverse]
+            odd = np.flatnonzero(of != np.arange(len(of)))
+            odd = odd[~equal_spans(wide, starts[odd], length[odd], wide, starts[of[odd]], length[of[odd]])]
+            taken = self.table.others(keys, wide, starts[first], length[first])
+            for k in np.flatnonzero(self.table.missing(keys)).tolist():
+                word = pending.get(int(keys[k]))
+                if word is not None and word != data[starts[first[k]]:ends[first[k]]].tobytes():
+                    taken[k] = True
+            odd = np.union1d(odd, np.flatnonzero(taken[inverse]))
+            if not len(odd):
+                return keys, first, inverse
+            turn += 1
+            hashes[odd] = [strong_key(data[a:b].tobytes(), turn)
+                           for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
+
     def batch(self, texts: pa.Array):
         """For each block: (first row, end row, ids per chunk, first chunk of each row, all ids).
 
         The distinct chunks of the whole batch are encoded together first.
         """
         table = self.table
-        if len(table.keys) > table.limit:
+        if table.full():
             table.clear()
-        held, keys, words = [], [], []
+        held, pending = [], {}
         for i, j, data, off in blocks(texts):
             starts, ends, data = self._chunks(data, off)
-            uniq, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-            lack = np.flatnonzero(table.missing(uniq))
-            keys.append(uniq[lack])
+            keys, first, inverse = self._distinct(data, starts, ends, pending)
+            lack = np.flatnonzero(table.missing(keys))
             at = first[lack]
             raw = data.tobytes()
-            words.extend(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist()))
-            held.append((i, j, uniq, inverse.astype(np.int32), np.searchsorted(starts, off)))
-        if words:
-            found, first = np.unique(np.concatenate(keys), return_index=True)
-            counts, ids = self.encode([words[k] for k in first.tolist()])
-            table.add(found, np.asarray(counts, np.int64), ids)
-            del words
-        for i, j, uniq, inverse, rows in held:
-            at = table.find(uniq)
+            for key, a, b in zip(keys[lack].tolist(), starts[at].tolist(), ends[at].tolist()):
+                if key not in pending:
+                    pending[key] = raw[a:b]
+            held.append((i, j, keys, inverse.astype(np.int32), np.searchsorted(starts, off)))
+        if pending:
+            found, words = np.fromiter(pending, np.uint64, len(pending)), list(pending.values())
+            counts, ids = self.encode(words)
+            table.add(found, words, np.asarray(counts, np.int64), ids)
+            del words, pending
+        for i, j, keys, inverse, rows in held:
+            at = table.find(keys)
             counts = table.count[at][inverse]
             yield i, j, counts, rows, take_ranges(table.ids, table.start[at][inverse], counts)
 
