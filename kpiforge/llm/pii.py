@@ -9,6 +9,10 @@ host.tld" is prose unless one of its dots is spoken or disguised. The same detec
 text, and spans that involve rewritten characters are mapped back to the source and added,
 unless they are, or partly overlap, a base span of their kind.
 
+Every pattern starts at an anchor (a digit run, an at sign, a bracket, a number word)
+and is extended from there once, so the time follows the length of the text whatever
+it holds; offsets are arrays of integers.
+
 Defined results: a null or empty text has no spans; texts of any length are
 searched whole; repeated rows give repeated results; a null doc_id stays null;
 an empty table gives no rows; extra columns are passed over (``masked``
@@ -17,12 +21,14 @@ returns them).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +38,8 @@ from kpiforge.llm.common import map_text, ship_package
 KINDS = ("email", "ip", "card", "phone")
 
 _MAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# From the start of a digit run: a match that starts inside one would also start there.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -98,18 +105,20 @@ _NUMBER = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _GAP = r"(?:[ \t,]*-[ \t]*|[ \t,]+)"
 # Three or more spelled digits, or digits mixed with spelled ones, with spelled signs between.
 _SIGN = rf"(?:{_DOT_WORDS}|dash|hyphen|minus)"
-_SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:plus{_GAP})|\+[ \t]*)?(?:(?:{_NUMBER}|[0-9]+)(?:{_GAP}{_SIGN}{_GAP}|{_GAP}|\.))*"
-    rf"{_NUMBER}(?:(?:{_GAP}{_SIGN}{_GAP}|{_GAP}|\.)(?:{_NUMBER}|[0-9]+))*(?!\w)")
+_ITEM = re.compile(rf"(?<!\w)(?:(?P<word>{_NUMBER})|[0-9]++)(?!\w)")
+_BETWEEN = re.compile(rf"{_GAP}{_SIGN}{_GAP}|{_GAP}|\.")
+_ONLY_GAP = re.compile(_GAP)
 _HAS_SPELLED = re.compile(rf"(?<!\w){_NUMBER}(?:[\s,.-]+(?:{_SIGN}[\s,-]+)?(?:{_NUMBER}|[0-9]+)(?!\w)){{2}}"
                           rf"|[0-9](?:[\s,.-]+(?:{_SIGN}[\s,-]+)?){_NUMBER}(?!\w)")
 _PIECE = re.compile(rf"{_NUMBER}(?!\w)|{_SIGN}|plus|\+|\.|[0-9]+|{_GAP}")
-_OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
+_OPEN, _SHUT = r"(?:(?<![ \t])[ \t]++)?[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"{_OPEN}(?:(?P<at>{_AT_WORDS}|@)|(?P<dot>{_DOT_WORDS}|\.))(?:{_SHUT})")
-_SPOKEN = re.compile(
-    rf"(?P<user>[a-z0-9_%+-]+(?:(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9_%+-]+)*)(?P<at>[ \t]+(?:{_AT_WORDS})[ \t]+|[ \t]*@[ \t]*)"
-    rf"(?P<host>[a-z0-9-]+(?:(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9-]+)+)(?![a-z0-9])")
-_SPOKEN_DOT = re.compile(rf"[ \t]+(?:{_DOT_WORDS})[ \t]+")
+_AT = re.compile(rf"(?<![^ \t])(?:{_AT_WORDS})(?![^ \t])|@")
+_HOST = re.compile(rf"[a-z0-9-]++(?:(?:[ \t]++(?:{_DOT_WORDS})[ \t]++|\.)[a-z0-9-]++)+(?![a-z0-9])")
+_USER_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_SPOKEN_DOT = re.compile(rf"(?<![ \t])[ \t]++(?:{_DOT_WORDS})[ \t]+")
+_LAST_DOT = re.compile(rf"(?<![^ \t])(?:{_DOT_WORDS})$")
+_LONGEST_DOT = max(map(len, _DOT_WORDS.split("|")))
 # An at word or a spaced @ before a host: all that _SPOKEN can rewrite but spoken dots around a plain @.
 _SPOKEN_AT = re.compile(rf"(?:[ \t](?:(?:{_AT_WORDS})[ \t]+|@[ \t]*)|@[ \t]+)"
                         rf"[a-z0-9-]+(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|\.)[a-z0-9-]")
@@ -134,38 +143,33 @@ class Aligned:
 
     def __init__(self, text: str):
         self.text = text
-        self.start, self.end = list(range(len(text))), list(range(1, len(text) + 1))
-        self.changed = bytearray(len(text))
+        self.start = np.arange(len(text))
+        self.end = self.start + 1
+        self.changed = np.zeros(len(text), bool)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [a, b) by each text, edits in order and apart; the first character takes the whole source."""
         if not edits:
             return
-        text, start, end, changed, at = [], [], [], bytearray(), 0
+        text, start, end, changed, at = [], [], [], [], 0
         for a, b, new in edits:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            changed += self.changed[at:a]
-            if new:
-                text.append(new)
-                low, high = (self.start[a], self.end[b - 1])
-                start += [low] * len(new)
-                end += [high] * len(new)
-                changed += b"\1" * len(new)
+            text += [self.text[at:a], new]
+            start += [self.start[at:a], np.full(len(new), self.start[a])]
+            end += [self.end[at:a], np.full(len(new), self.end[b - 1])]
+            changed += [self.changed[at:a], np.ones(len(new), bool)]
             at = b
-        text.append(self.text[at:])
-        self.text = "".join(text)
-        self.start, self.end = start + self.start[at:], end + self.end[at:]
-        self.changed = changed + self.changed[at:]
+        self.text = "".join([*text, self.text[at:]])
+        self.start = np.concatenate([*start, self.start[at:]])
+        self.end = np.concatenate([*end, self.end[at:]])
+        self.changed = np.concatenate([*changed, self.changed[at:]])
 
     def source(self, span: Span) -> Span:
-        return self.start[span[0]], self.end[span[1] - 1]
+        return int(self.start[span[0]]), int(self.end[span[1] - 1])
 
     def rewritten(self, span: Span) -> bool:
         """Whether a character in or beside the span was rewritten, or hidden ones were taken out."""
         a, b = span
-        return any(self.changed[a:b]) or any(self.end[i] != self.start[i + 1] for i in range(a, b - 1))
+        return bool(self.changed[a:b].any() or (self.end[a:b - 1] != self.start[a + 1:b]).any())
 
 
 def _lower(text: str) -> str:
@@ -192,11 +196,48 @@ def _brackets(line: Aligned) -> None:
     line.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(_lower(line.text))])
 
 
+def _prefix(text: str, start: int, least: int) -> int:
+    """Where a plus sign or word before ``start`` begins, or ``start``; nothing before ``least`` counts."""
+    at = start
+    while at > least and text[at - 1] in " \t,-":
+        at -= 1
+    low = at - 4
+    if low >= least and text[low:at] == "plus" and _ONLY_GAP.fullmatch(text, at, start) and not _is_word(text, low - 1):
+        return low
+    at = start
+    while at > least and text[at - 1] in " \t":
+        at -= 1
+    if at > least and text[at - 1] == "+" and not _is_word(text, at - 2):
+        return at - 1
+    return start
+
+
+def _is_word(text: str, at: int) -> bool:
+    return at >= 0 and (text[at].isalnum() or text[at] == "_")
+
+
+def _runs(text: str) -> Iterator[Span]:
+    """Longest chains of numbers with a spelled one among them, with a plus before."""
+    first = last = done = 0
+    spelled = False
+    for m in _ITEM.finditer(text):
+        if last and _BETWEEN.fullmatch(text, last, m.start()):
+            spelled = spelled or m["word"] is not None
+        else:
+            if spelled:
+                yield _prefix(text, first, done), last
+            done, first, spelled = last, m.start(), m["word"] is not None
+        last = m.end()
+    if spelled:
+        yield _prefix(text, first, done), last
+
+
 def _spelled_digits(line: Aligned) -> None:
     """Runs of spelled digits become digits without the gaps between them."""
     edits = []
-    for run in _SPELLED.finditer(_lower(line.text)):
-        pieces = [(m.start(), m.end(), m.group()) for m in _PIECE.finditer(run.string, run.start(), run.end())]
+    low = _lower(line.text)
+    for begin, end in _runs(low):
+        pieces = [(m.start(), m.end(), m.group()) for m in _PIECE.finditer(low, begin, end)]
         if sum(w in _DIGIT_WORDS or w[0].isdigit() for _, _, w in pieces) < 3:
             continue
         for a, b, word in pieces:
@@ -213,22 +254,71 @@ def _spelled_digits(line: Aligned) -> None:
     line.rewrite(edits)
 
 
+def _user_start(text: str, end: int, least: int) -> int:
+    """Where the longest user part that ends at ``end`` begins: words joined by dots, spoken or not."""
+    at = end
+    while True:
+        word = at
+        while word > least and text[word - 1] in _USER_CHARS:
+            word -= 1
+        if word == at:
+            return end if at == end else joint
+        # a word; what joins it to another one before it?
+        if word > least and text[word - 1] == ".":
+            joint, at = word, word - 1
+            continue
+        gap = word
+        while gap > least and text[gap - 1] in " \t":
+            gap -= 1
+        low = max(least, gap - _LONGEST_DOT - 1)
+        dot = _LAST_DOT.search(text, low, gap) if gap < word else None
+        if dot is None or dot.start() == low and low > least and text[low - 1] not in " \t":
+            return word
+        before = dot.start()
+        while before > least and text[before - 1] in " \t":
+            before -= 1
+        if before == dot.start():
+            return word
+        joint, at = word, before
+
+
+def _spoken_mails(text: str) -> Iterator[tuple[Span, Span, Span]]:
+    """(user, at, host) of each address with a spaced or spoken at, from the at outwards."""
+    done = 0
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1] in " \t":
+            a -= 1
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        if m.start() < done or m.group() != "@" and (a == m.start() or b == m.end()):
+            continue
+        host = _HOST.match(text, b)
+        if host is None:
+            continue
+        user = _user_start(text, a, done)
+        if user < a:
+            yield (user, a), (a, b), host.span()
+            done = host.end()
+
+
 def _spoken(line: Aligned) -> None:
     edits = []
-    for m in _SPOKEN.finditer(_lower(line.text)):
-        told = _SPOKEN_DOT.search(m.group()) is not None
-        if m["at"] == "@" and not told:
+    text = _lower(line.text)
+    for user, at, host in _spoken_mails(text):
+        sign = text[slice(*at)]
+        told = any(_SPOKEN_DOT.search(text, *part) for part in (user, host))
+        if sign == "@" and not told:
             continue
         # Without a spoken or rewritten dot, "at" between words is ordinary prose.
-        if m["at"].strip() != "@" and not told and not any(
-                line.changed[i] for i in range(*m.span()) if line.text[i] == "."):
+        if sign.strip() != "@" and not told and not any(
+                line.changed[i] for part in (user, host) for i in range(*part) if line.text[i] == "."):
             continue
-        if not told and _DECIMAL.fullmatch(m["host"]):  # "2 @ 3.50" is a price
+        if not told and _DECIMAL.fullmatch(text, *host):  # "2 @ 3.50" is a price
             continue
-        for name in ("user", "host"):
-            low = m.start(name)
-            edits += [(low + d.start(), low + d.end(), ".") for d in _SPOKEN_DOT.finditer(m[name])]
-        edits.append((*m.span("at"), "@"))
+        for part in (user, host):
+            edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, *part)]
+        edits.append((*at, "@"))
     line.rewrite(sorted(edits))
 
 
@@ -249,11 +339,13 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     line = normalised(text)
     for kind, spans in detect(line.text).items():
         taken = sorted(base[kind])
+        ends = [y for _, y in taken]
         for span in spans:
             if line.rewritten(span):
                 a, b = line.source(span)
                 # Where a base span is only a part of it, the whole is added beside it.
-                if all(b <= x or y <= a or (a <= x and y <= b and (a, b) != (x, y)) for x, y in taken):
+                first, after = bisect.bisect_right(ends, a), bisect.bisect_left(taken, (b, b))
+                if all(a <= x and y <= b and (a, b) != (x, y) for x, y in taken[first:after]):
                     added[kind].append((a, b))
     return base, added
 
