@@ -56,10 +56,11 @@ def write_results(star: StarSchema, path: str) -> dict[str, str]:
 
 
 def run(spark: SparkSession, raw_dir: str, fmt: str, out: str, prefixes=(),
-        exact_int_money: bool = False, validate: bool = True, by_month: bool = False) -> dict[str, str]:
+        exact_int_money: bool = False, validate: bool = True, by_month: bool = False,
+        collation: str | None = None) -> dict[str, str]:
     """Result name -> folder of the published version."""
     out = out.rstrip("/")
-    raw = load_raw(spark, raw_dir, fmt, prefixes, exact_int_money)
+    raw = load_raw(spark, raw_dir, fmt, prefixes, exact_int_money, collation)
     paths: dict[str, str] = {}
 
     def finish(star: StarSchema, folder: str) -> None:
@@ -67,7 +68,7 @@ def run(spark: SparkSession, raw_dir: str, fmt: str, out: str, prefixes=(),
             validate_keys(star)
         paths.update(write_results(star, f"{folder}/results"))
 
-    materialize_star(raw, f"{out}/star", by_month=by_month, stage_raw=stage_raw if fmt == "csv" else None,
+    materialize_star(raw, f"{out}/star", by_month=by_month, stage_raw=stage_raw if fmt == "csv" or collation else None,
                      before_publish=finish)
     return paths
 
@@ -81,13 +82,15 @@ def main(argv=None) -> None:
                     help="alternative file-name prefix of the raw tables (repeatable)")
     ap.add_argument("--by-month", action="store_true",
                     help="cluster the fact files by month, so that date filters skip files")
+    ap.add_argument("--collation", help="compare text keys by this Spark collation, for example UTF8_LCASE_RTRIM")
     ap.add_argument("--show", action="append", default=[],
                     help="print this result set after the build (repeatable)")
     args = ap.parse_args(argv)
     from kpiforge.session import get_session
 
     spark = get_session()
-    paths = run(spark, args.raw, args.format, args.out, args.prefix, by_month=args.by_month)
+    paths = run(spark, args.raw, args.format, args.out, args.prefix, by_month=args.by_month,
+                collation=args.collation)
     for name, path in paths.items():
         print(f"{name}\t{path}")
     star = open_star(spark, f"{args.out.rstrip('/')}/star")

@@ -149,8 +149,12 @@ def require_columns(tables: Mapping[str, DataFrame],
 
 
 def load_raw(spark: SparkSession, root: str, fmt: str = "csv", prefixes: Iterable[str] = (),
-             exact_int_money: bool = False):
-    """Load the five raw tables from ``root`` (CSV or Parquet) with declared types."""
+             exact_int_money: bool = False, collation: str | None = None):
+    """Load the five raw tables from ``root`` (CSV or Parquet) with declared types.
+
+    With a ``collation`` (see ``kpiforge.sources.collation``) text keys that are
+    equal under it get one spelling.
+    """
     from kpiforge.plans.star import RawTables
 
     schemas = raw_schemas(exact_int_money)
@@ -159,4 +163,9 @@ def load_raw(spark: SparkSession, root: str, fmt: str = "csv", prefixes: Iterabl
         path = resolve_source(spark, root, name, fmt, prefixes)
         frames[name] = read_raw_table(spark, path, schemas[name], fmt)
     require_columns(frames, {n: s.fieldNames() for n, s in schemas.items()})
-    return RawTables(**frames)
+    raw = RawTables(**frames)
+    if collation is None:
+        return raw
+    from kpiforge.sources.collation import with_collation
+
+    return with_collation(raw, collation)
