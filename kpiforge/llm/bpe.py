@@ -1,17 +1,27 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words (pre-tokens) of all texts of a batch form one corpus. An
-inverted index maps each mergeable pair, by the rank of the token it makes, to
-the positions where it stands. Ranks are applied in rising order from a heap:
-all occurrences of a pair in the whole corpus are merged at once, and only the
-pairs with the touched neighbours are looked up anew and indexed. Words seen
-in earlier batches of the worker are kept, up to a bound on memory.
+Three steps over the whole table:
+
+1. The texts are cut into blocks of some megabytes. A block is written as its distinct
+   words (pre-tokens) and, for each document, the numbers of its words in that list: the
+   text itself is not needed again.
+2. The distinct words of all blocks, the corpus, are dealt out by word, so each word of the
+   corpus is replayed once. An inverted index maps each mergeable pair, by the rank of
+   the token it makes, to the positions where it stands. Ranks are applied in rising order:
+   all occurrences of a pair in the slice of the corpus are merged at once, and only the
+   pairs with the touched neighbours are looked up anew and indexed.
+3. The ids of the words go back to the blocks that hold them, and each block's word
+   numbers are replaced by ids. A frequent word travels once for each block, not once for
+   each time it is written.
 
 Ids equal those of the tiktoken library for the same ranks and pattern: within
 a word the lowest rank is always merged first, leftmost first. Where a merge
 could create a pair of lower rank (known from the vocabulary beforehand), only
 the leftmost occurrence in each word is merged before the heap is asked again.
 
+The written blocks fix which document lies in which block, so a lost executor repeats a
+step with equal results. A task holds one block, or one slice of words.
+
 Defined results: a null or empty text has no ids and decodes to no bytes;
 texts of any length are encoded whole; repeated rows give repeated results; a
 null doc_id stays null; an empty table gives no rows; extra columns are ignored.
@@ -21,18 +31,23 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kpiforge.llm.common import map_text
+from kpiforge.llm.common import map_text, ship_package, stage
 from kpiforge.llm.vocab import pattern, ranks
-from kpiforge.llm.wordblocks import BatchEncoder, chunk_spans, row_offsets, take_ranges
+from kpiforge.llm.wordblocks import BLOCK_BYTES, BatchEncoder, blocks, chunk_spans, row_offsets, take_ranges
 
+BLOCK_TEXT = 16 << 20  # bytes of text in a block; a longer document is a block of its own
+SLICE_WORDS = 200_000  # words replayed together
+SLICE_BYTES = 8 << 20  # and their bytes; a longer word is a slice of its own
 RANKS = "byte_bpe_50k.tiktoken"
 _NONE = np.int64(2**62)
 
@@ -140,19 +155,29 @@ def replay(path: str = RANKS) -> MergeReplay:
     return MergeReplay(ranks(path))
 
 
+def _word_numbers(words: dict[str, int], chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words per chunk, number of every word); new words are entered in ``words``."""
+    split = _splitter()
+    counts, of = np.zeros(len(chunks), np.int64), []
+    for i, chunk in enumerate(chunks):
+        parts = split(chunk.decode())
+        counts[i] = len(parts)
+        of.extend(words.setdefault(p, len(words)) for p in parts)
+    return counts, np.array(of, np.int64)
+
+
+@lru_cache(maxsize=1)
+def _splitter() -> Callable[[str], list[str]]:
+    return regex.compile(pattern()).findall
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str = RANKS) -> BatchEncoder:
-    split = regex.compile(pattern()).findall
-
+    """Encoder of texts at hand, such as the edited parts of a document: their words are the corpus."""
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words, of = {}, []
-        counts = np.zeros(len(chunks), np.int64)
-        for i, chunk in enumerate(chunks):
-            parts = split(chunk.decode())
-            counts[i] = len(parts)
-            of.extend(words.setdefault(p, len(words)) for p in parts)
+        words: dict[str, int] = {}
+        counts, of = _word_numbers(words, chunks)
         size, ids = replay(path).encode([w.encode() for w in words])
-        of = np.array(of, np.int64)
         begin = np.cumsum(size) - size
         total = np.zeros(len(of) + 1, np.int64)
         np.cumsum(size[of], out=total[1:])
@@ -162,6 +187,53 @@ def encoder(path: str = RANKS) -> BatchEncoder:
     return BatchEncoder(chunk_spans, encode)
 
 
+class WordLister:
+    """Cuts Arrow batches of texts into blocks: distinct words, and each document's words as numbers.
+
+    Chunks seen before are known to the worker, up to a bound on memory.
+    """
+
+    def __init__(self, limit: int = 1_500_000):
+        self.words: dict[str, int] = {}
+        self.known = BatchEncoder(chunk_spans, lambda chunks: _word_numbers(self.words, chunks), limit=limit)
+
+    def cut(self, batches: Iterator[pa.RecordBatch], first: int, limit: int = BLOCK_TEXT) -> Iterator[pa.RecordBatch]:
+        docs, sizes, numbers, held = [], [], [], 0
+        for batch in batches:
+            for i, j, data, _ in blocks(batch.column(1), min(limit, BLOCK_BYTES)):
+                if self.known.table.full():  # its numbers go with it: the block ends here
+                    if docs:
+                        yield self._block(first, docs, sizes, numbers)
+                        first, docs, sizes, numbers, held = first + 1, [], [], [], 0
+                    self.known.table.clear()
+                    self.words.clear()
+                for _, _, counts, rows, of in self.known.batch(batch.column(1).slice(i, j - i)):
+                    docs.append(batch.column(0).slice(i, j - i).cast(pa.int64()))
+                    sizes.append(np.diff(row_offsets(counts, rows)))
+                    numbers.append(of.astype(np.uint32))
+                held += len(data)
+                if held >= limit:
+                    yield self._block(first, docs, sizes, numbers)
+                    first, docs, sizes, numbers, held = first + 1, [], [], [], 0
+        if docs:
+            yield self._block(first, docs, sizes, numbers)
+
+    def _block(self, number: int, docs: list, sizes: list, numbers: list) -> pa.RecordBatch:
+        ids, of = pa.concat_arrays(docs), np.concatenate(numbers)
+        used = np.zeros(len(self.words), bool)
+        used[of] = True
+        place = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+        words = np.fromiter(self.words, object, len(self.words))[used].tolist()
+        kind = "<u2" if len(words) <= 1 << 16 else "<u4"
+        whole = np.array([0, len(ids)], np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids),
+             pa.array([np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()),
+             pa.array([place[of].astype(kind).tobytes()], pa.binary()),
+             pa.array([[w.encode() for w in words]], pa.list_(pa.binary()))],
+            ["block", "doc_ids", "sizes", "numbers", "words"])
+
+
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all tokens, where each id begins, its length)."""
@@ -183,17 +255,77 @@ def decode(ids: np.ndarray, path: str = RANKS) -> tuple[bytes, np.ndarray]:
     return take_ranges(data, begin[ids], n).tobytes(), off
 
 
-def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
+def word_blocks(docs: DataFrame, limit: int = BLOCK_TEXT) -> DataFrame:
+    """One row per block of documents, written: block, doc_ids, sizes (words of each), numbers (of all words), words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        yield from WordLister().cut((x for x in batches if x.num_rows), first, limit)
+
+    ship_package(docs.sparkSession)
+    return stage(docs.select("doc_id", "text").mapInArrow(
+        run, "block long, doc_ids array<long>, sizes binary, numbers binary, words array<binary>"), "bpe-blocks")
+
+
+def replayed(words: DataFrame, path: str = RANKS, together: int = SLICE_WORDS) -> DataFrame:
+    """(word, ids) of distinct words, by replaying the merges over slices of them."""
+    def encode(batch: list[bytes]) -> pa.RecordBatch:
+        size, ids = replay(path).encode(batch)
+        off = np.concatenate([[0], np.cumsum(size)]) * 4
+        raw = ids.astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(batch, pa.binary()), pa.array([raw[a:b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
+            ["word", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                held.append(word)
+                size += len(word)
+                if len(held) >= together or size >= SLICE_BYTES:
+                    yield encode(held)
+                    held, size = [], 0
+        if held:
+            yield encode(held)
+
+    return words.select("word").mapInArrow(run, "word binary, ids binary")
+
+
+def corpus_encoded(docs: DataFrame, schema: str, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table],
+                   path: str = RANKS, limit: int = BLOCK_TEXT) -> DataFrame:
+    """``finish`` of every block of documents: (doc_ids, offsets of the documents' ids, all ids of the block)."""
+    blocks = word_blocks(docs, limit)
+    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    ids = stage(replayed(listed.select("word").distinct(), path), "bpe-words")
+    sent = listed.join(ids, "word").select(F.col("block").alias("home"), "place", "ids")
+
+    def run(block: pa.Table, words: pa.Table) -> pa.Table:
+        # a block is one row; its words come in any order
+        order = np.argsort(words["place"].to_numpy())
+        pieces = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary())
+        pieces = pieces.cast(pa.large_binary()).take(pa.array(order))
+        edge = np.frombuffer(pieces.buffers()[1], np.int64)[:len(order) + 1] // 4 if len(order) else np.zeros(1, np.int64)
+        flat = np.frombuffer(pieces.buffers()[2], "<u4", edge[-1]) if len(order) and edge[-1] else np.zeros(0, "<u4")
+        size = np.diff(edge)
+        of = np.frombuffer(block["numbers"][0].as_py(), "<u2" if len(order) <= 1 << 16 else "<u4")
+        total = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(size[of], out=total[1:])
+        n = np.frombuffer(block["sizes"][0].as_py(), "<i8")
+        off = total[np.concatenate([[0], np.cumsum(n)])]
+        return finish(block["doc_ids"].combine_chunks().flatten(), off, take_ranges(flat, edge[:-1][of], size[of]))
+
+    held = blocks.select("block", "doc_ids", "sizes", "numbers")
+    return held.groupBy("block").cogroup(sent.groupBy("home")).applyInArrow(run, schema)
+
+
+def encode_documents(docs: DataFrame, path: str = RANKS, limit: int = BLOCK_TEXT) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 32-bit ids of every whole text."""
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, counts, rows, ids in encoder(path).batch(batch.column(1)):
-            off = (row_offsets(counts, rows) * 4).tolist()
-            raw = ids.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i).cast(pa.int64()),
-                 pa.array([raw[a:b] for a, b in zip(off[:-1], off[1:])], pa.binary())], ["doc_id", "ids"])
+    def finish(doc_ids: pa.Array, off: np.ndarray, ids: np.ndarray) -> pa.Table:
+        raw, edge = ids.astype("<u4").tobytes(), (off * 4).tolist()
+        return pa.table({"doc_id": doc_ids, "ids": pa.array(
+            [raw[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
 
-    return map_text(docs, ["doc_id", "text"], "doc_id long, ids binary", run)
+    return corpus_encoded(docs, "doc_id long, ids binary", finish, path, limit)
 
 
 def decode_documents(tokens: DataFrame, path: str = RANKS) -> DataFrame:
@@ -205,22 +337,18 @@ def decode_documents(tokens: DataFrame, path: str = RANKS) -> DataFrame:
     return map_text(tokens, ["doc_id", "ids"], "doc_id long, ids binary, bytes binary", run)
 
 
-def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str = RANKS, limit: int = BLOCK_TEXT) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids and their decoding, digested where they are made."""
     sha = hashlib.sha256
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, counts, rows, ids in encoder(path).batch(batch.column(1)):
-            off = row_offsets(counts, rows)
-            raw = memoryview(ids.astype("<u4").tobytes())
-            text, at = decode(ids.astype(np.int64), path)
-            view, cut = memoryview(text), at[off].tolist()
-            edges = (off * 4).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(off)),
-                 pa.array([sha(raw[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:])], pa.string()),
-                 pa.array([sha(view[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:])], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_text(docs, ["doc_id", "text"],
-                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    def finish(doc_ids: pa.Array, off: np.ndarray, ids: np.ndarray) -> pa.Table:
+        raw = memoryview(ids.astype("<u4").tobytes())
+        text, at = decode(ids.astype(np.int64), path)
+        view, cut, edge = memoryview(text), at[off].tolist(), (off * 4).tolist()
+        return pa.table({
+            "doc_id": doc_ids, "n_tokens": np.diff(off),
+            "ids_sha256": pa.array([sha(raw[a:b]).hexdigest() for a, b in zip(edge[:-1], edge[1:])], pa.string()),
+            "decoded_sha256": pa.array([sha(view[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:])], pa.string())})
+
+    return corpus_encoded(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                          finish, path, limit)
