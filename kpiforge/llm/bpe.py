@@ -3,16 +3,17 @@
 Three steps over the whole table:
 
 1. The texts are cut into blocks of some megabytes. A block is written as its distinct
-   words (pre-tokens) and, for each document, the numbers of its words in that list: the
-   text itself is not needed again.
-2. The distinct words of all blocks, the corpus, are dealt out by word, so each word of the
-   corpus is replayed once. An inverted index maps each mergeable pair, by the rank of
-   the token it makes, to the positions where it stands. Ranks are applied in rising order:
-   all occurrences of a pair in the slice of the corpus are merged at once, and only the
-   pairs with the touched neighbours are looked up anew and indexed.
-3. The ids of the words go back to the blocks that hold them, and each block's word
-   numbers are replaced by ids. A frequent word travels once for each block, not once for
-   each time it is written.
+   words (pre-tokens) in the order of a hash and, for each document, the numbers of its
+   words in that list: the text itself is not needed again.
+2. The distinct words of all blocks, the corpus, are dealt out in buckets by ranges of the
+   hash, so each word meets its copies from other blocks and is replayed once. An inverted
+   index maps each mergeable pair, by the rank of the token it makes, to the positions
+   where it stands. Ranks are applied in rising order: all occurrences of a pair in the
+   slice of the corpus are merged at once, and only the pairs with the touched neighbours
+   are looked up anew and indexed.
+3. The ids go back to the blocks bucket by bucket, which gives them in the order of the
+   block's list, and the word numbers are replaced by ids. A frequent word travels once for
+   each block, not once for each time it is written.
 
 Ids equal those of the tiktoken library for the same ranks and pattern: within
 a word the lowest rank is always merged first, leftmost first. Where a merge
@@ -20,7 +21,8 @@ could create a pair of lower rank (known from the vocabulary beforehand), only
 the leftmost occurrence in each word is merged before the heap is asked again.
 
 The written blocks fix which document lies in which block, so a lost executor repeats a
-step with equal results. A task holds one block, or one slice of words.
+step with equal results. A task holds one block, or one slice of words
+and the words it has replayed, up to a bound (a forgotten word is replayed again).
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 texts of any length are encoded whole; repeated rows give repeated results; a
@@ -37,17 +39,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import map_text, ship_package, stage
 from kpiforge.llm.vocab import pattern, ranks
-from kpiforge.llm.wordblocks import BLOCK_BYTES, BatchEncoder, blocks, chunk_spans, row_offsets, take_ranges
+from kpiforge.llm.wordblocks import (BLOCK_BYTES, BatchEncoder, blocks, chunk_spans, hash_spans, row_offsets,
+                                     take_ranges)
 
 BLOCK_TEXT = 16 << 20  # bytes of text in a block; a longer document is a block of its own
 SLICE_WORDS = 200_000  # words replayed together
-SLICE_BYTES = 8 << 20  # and their bytes; a longer word is a slice of its own
+SLICE_BYTES = 2 << 20  # and their bytes; a longer row of words is a slice of its own
+BUCKET_WORDS = 1 << 17  # words of blocks in a bucket, on average
+FINISH_WORDS = 500_000  # words of a block turned to ids at a time; a longer document by itself
 RANKS = "byte_bpe_50k.tiktoken"
 _NONE = np.int64(2**62)
 
@@ -193,7 +199,7 @@ class WordLister:
     Chunks seen before are known to the worker, up to a bound on memory.
     """
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 400_000):
         self.words: dict[str, int] = {}
         self.known = BatchEncoder(chunk_spans, lambda chunks: _word_numbers(self.words, chunks), limit=limit)
 
@@ -222,16 +228,32 @@ class WordLister:
         ids, of = pa.concat_arrays(docs), np.concatenate(numbers)
         used = np.zeros(len(self.words), bool)
         used[of] = True
-        place = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
-        words = np.fromiter(self.words, object, len(self.words))[used].tolist()
-        kind = "<u2" if len(words) <= 1 << 16 else "<u4"
+        used = np.flatnonzero(used)
+        listed = list(self.words)
+        words = [listed[k].encode() for k in used.tolist()]
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum(length)
+        order = np.argsort(hash_spans(data, end - length, end), kind="stable")
+        place = np.zeros(len(listed), np.uint32)
+        place[used[order]] = np.arange(len(order), dtype=np.uint32)
         whole = np.array([0, len(ids)], np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids),
-             pa.array([np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()),
-             pa.array([place[of].astype(kind).tobytes()], pa.binary()),
-             pa.array([[w.encode() for w in words]], pa.list_(pa.binary()))],
-            ["block", "doc_ids", "sizes", "numbers", "words"])
+            [pa.array([number], pa.int64()), pa.array([len(words)], pa.int64()), pa.ListArray.from_arrays(whole, ids),
+             pa.array([_packed(np.concatenate(sizes))], pa.binary()), pa.array([_packed(place[of])], pa.binary()),
+             pa.array([take_ranges(data, (end - length)[order], length[order]).tobytes()], pa.binary()),
+             pa.array([_packed(length[order])], pa.binary())],
+            ["block", "n_words", "doc_ids", "sizes", "numbers", "words", "lengths"])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, compressed: all their lowest bytes, then all the next ones, and so on."""
+    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -256,65 +278,114 @@ def decode(ids: np.ndarray, path: str = RANKS) -> tuple[bytes, np.ndarray]:
 
 
 def word_blocks(docs: DataFrame, limit: int = BLOCK_TEXT) -> DataFrame:
-    """One row per block of documents, written: block, doc_ids, sizes (words of each), numbers (of all words), words."""
+    """One row per block of documents, written.
+
+    block, n_words, doc_ids, sizes (words of each document), numbers (of all their words),
+    words (distinct, one after the other, in the order of their hashes) and their lengths.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         yield from WordLister().cut((x for x in batches if x.num_rows), first, limit)
 
     ship_package(docs.sparkSession)
     return stage(docs.select("doc_id", "text").mapInArrow(
-        run, "block long, doc_ids array<long>, sizes binary, numbers binary, words array<binary>"), "bpe-blocks")
-
+        run, "block long, n_words long, doc_ids array<long>, sizes binary, numbers binary, words binary, lengths binary"),
+        "bpe-blocks")
 
-def replayed(words: DataFrame, path: str = RANKS, together: int = SLICE_WORDS) -> DataFrame:
-    """(word, ids) of distinct words, by replaying the merges over slices of them."""
-    def encode(batch: list[bytes]) -> pa.RecordBatch:
-        size, ids = replay(path).encode(batch)
-        off = np.concatenate([[0], np.cumsum(size)]) * 4
-        raw = ids.astype("<u4").tobytes()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(batch, pa.binary()), pa.array([raw[a:b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
-            ["word", "ids"])
 
+def in_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words, lengths): each block's words cut by equal ranges of the hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                length = _unpacked(lengths)
+                if not len(length):
+                    continue
+                end = np.cumsum(length)
+                h = hash_spans(np.frombuffer(words, np.uint8), end - length, end)
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]])
+                byte = np.concatenate([[0], end])[cut].tolist()
+                at = cut.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(cut) - 1, block)),
+                     pa.array([words[a:b] for a, b in zip(byte[:-1], byte[1:])], pa.binary()),
+                     pa.array([length[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                    ["bucket", "block", "words", "lengths"])
+
+    return blocks.select("block", "words", "lengths").mapInArrow(
+        run, "bucket long, block long, words binary, lengths binary")
+
+
+def replayed(rows: DataFrame, path: str = RANKS, together: int = SLICE_WORDS) -> DataFrame:
+    """(bucket, block, counts, ids) of rows of words, by replaying the merges over the distinct ones of each slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        # every row of this column is one word; those replayed before are known
+        known = BatchEncoder(lambda data, off: (off[:-1], off[1:]), replay(path).encode, limit=1_000_000)
+
+        def encode(held: list[tuple[int, int, bytes, np.ndarray]]) -> pa.RecordBatch:
+            length = np.concatenate([row[3] for row in held])
+            edge = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            words = pa.LargeStringArray.from_buffers(
+                len(length), pa.py_buffer(edge.tobytes()), pa.py_buffer(b"".join(row[2] for row in held)))
+            parts = [(counts, ids) for _, _, counts, _, ids in known.batch(words)]
+            counts, ids = (np.concatenate(x).astype("<u4") for x in zip(*parts))
+            place = np.concatenate([[0], np.cumsum([len(row[3]) for row in held])])
+            off = (np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[place] * 4).tolist()
+            sizes, raw, at = counts.tobytes(), ids.tobytes(), (place * 4).tolist()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([row[0] for row in held], pa.int64()), pa.array([row[1] for row in held], pa.int64()),
+                 pa.array([sizes[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([raw[a:b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
+                ["bucket", "block", "counts", "ids"])
+
+        held, n, size = [], 0, 0
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                held.append(word)
-                size += len(word)
-                if len(held) >= together or size >= SLICE_BYTES:
+            for bucket, block, words, lengths in zip(*batch.columns):
+                held.append((bucket.as_py(), block.as_py(), words.as_py(),
+                             np.frombuffer(lengths.as_py(), "<u4").astype(np.int64)))
+                n, size = n + len(held[-1][3]), size + len(held[-1][2])
+                if n >= together or size >= SLICE_BYTES:
                     yield encode(held)
-                    held, size = [], 0
+                    held, n, size = [], 0, 0
         if held:
             yield encode(held)
 
-    return words.select("word").mapInArrow(run, "word binary, ids binary")
+    return rows.mapInArrow(run, "bucket long, block long, counts binary, ids binary")
 
 
 def corpus_encoded(docs: DataFrame, schema: str, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table],
-                   path: str = RANKS, limit: int = BLOCK_TEXT) -> DataFrame:
-    """``finish`` of every block of documents: (doc_ids, offsets of the documents' ids, all ids of the block)."""
+                   path: str = RANKS, limit: int = BLOCK_TEXT, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """``finish`` of the documents of every block: (doc_ids, offsets of the documents' ids, their ids)."""
+    spark = docs.sparkSession
     blocks = word_blocks(docs, limit)
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    ids = stage(replayed(listed.select("word").distinct(), path), "bpe-words")
-    sent = listed.join(ids, "word").select(F.col("block").alias("home"), "place", "ids")
+    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows are few and heavy: their size says little
+    buckets = max(1, min(-(-n_words // bucket_words), 1 << 31))
+    dealt = in_buckets(blocks, buckets).repartition(min(buckets, tasks), "bucket").sortWithinPartitions("bucket")
+    sent = replayed(dealt, path).select("bucket", F.col("block").alias("home"), "counts", "ids")
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        # a block is one row; its words come in any order
-        order = np.argsort(words["place"].to_numpy())
-        pieces = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        pieces = pieces.cast(pa.large_binary()).take(pa.array(order))
-        edge = np.frombuffer(pieces.buffers()[1], np.int64)[:len(order) + 1] // 4 if len(order) else np.zeros(1, np.int64)
-        flat = np.frombuffer(pieces.buffers()[2], "<u4", edge[-1]) if len(order) and edge[-1] else np.zeros(0, "<u4")
-        size = np.diff(edge)
-        of = np.frombuffer(block["numbers"][0].as_py(), "<u2" if len(order) <= 1 << 16 else "<u4")
-        total = np.zeros(len(of) + 1, np.int64)
-        np.cumsum(size[of], out=total[1:])
-        n = np.frombuffer(block["sizes"][0].as_py(), "<i8")
-        off = total[np.concatenate([[0], np.cumsum(n)])]
-        return finish(block["doc_ids"].combine_chunks().flatten(), off, take_ranges(flat, edge[:-1][of], size[of]))
-
-    held = blocks.select("block", "doc_ids", "sizes", "numbers")
+        # a block is one row; its buckets come in any order
+        order = np.argsort(words["bucket"].to_numpy())
+        counts, flat = (np.frombuffer(b"".join([x[k].as_py() for k in order.tolist()]), "<u4")
+                        for x in (words["counts"], words["ids"]))
+        size = counts.astype(np.int64)
+        begin = np.cumsum(size) - size
+        doc_ids = block["doc_ids"].combine_chunks().flatten()
+        of = _unpacked(block["numbers"][0].as_py())
+        last = np.concatenate([[0], np.cumsum(_unpacked(block["sizes"][0].as_py()))])
+        out, a = [], 0
+        while a < len(doc_ids):
+            b = max(a + 1, int(np.searchsorted(last, last[a] + FINISH_WORDS, "right")) - 1)
+            part = of[last[a]:last[b]]
+            total = np.concatenate([[0], np.cumsum(size[part])])
+            out.append(finish(doc_ids.slice(a, b - a), total[last[a:b + 1] - last[a]],
+                              take_ranges(flat, begin[part], size[part])))
+            a = b
+        return pa.concat_tables(out)
+
+    held = blocks.select("block", "doc_ids", "sizes", "numbers").repartition(max(1, min(n_blocks, tasks)), "block")
     return held.groupBy("block").cogroup(sent.groupBy("home")).applyInArrow(run, schema)
 
 

@@ -23,6 +23,14 @@ def expected(texts):
     return sorted(out, key=key)
 
 
+def words_of(data, lengths):
+    out, at = [], 0
+    for n in bpe._unpacked(lengths).tolist():
+        out.append(bytes(data[at:at + n]))
+        at += n
+    return out
+
+
 def key(r):
     return r[0] is None, r[0] or 0, r[2]
 
@@ -48,10 +56,11 @@ def test_blocks_hold_each_document_once(spark, texts):
     assert sorted((i is None, i or 0) for b in blocks for i in b.doc_ids) == sorted((i is None, i or 0) for i, _ in texts)
     found = []
     for b in blocks:
-        assert len(set(map(bytes, b.words))) == len(b.words)
-        at, of = 0, np.frombuffer(b.numbers, "<u2")
-        for i, n in zip(b.doc_ids, np.frombuffer(b.sizes, "<i8").tolist()):
-            found.append((i is None, i or 0, b"".join(bytes(b.words[k]) for k in of[at:at + n].tolist()).decode()))
+        listed = words_of(b.words, b.lengths)
+        assert len(set(listed)) == len(listed) == b.n_words
+        at, of = 0, bpe._unpacked(b.numbers).tolist()
+        for i, n in zip(b.doc_ids, bpe._unpacked(b.sizes).tolist()):
+            found.append((i is None, i or 0, b"".join(listed[k] for k in of[at:at + n]).decode()))
             at += n
     assert sorted(found) == sorted((i is None, i or 0, t or "") for i, t in texts)
 
@@ -60,10 +69,38 @@ def test_blocks_hold_each_document_once(spark, texts):
 def test_slices_of_the_corpus_give_the_same_ids(spark, together):
     rnd = random.Random(5)
     corpus = sorted({*words(rnd, 200).split(), " the", "aaaa" * 50, "\n\n", " 123", "日本", "é"})
-    rows = spark.createDataFrame([(bytearray(w.encode()),) for w in corpus], "word binary")
-    got = {bytes(r.word).decode(): np.frombuffer(r.ids, "<u4").tolist() for r in bpe.replayed(rows, together=together).collect()}
+    rows = []
+    for block in range(4):  # every block has half of the words
+        raw = [w.encode() for w in rnd.sample(corpus, len(corpus) // 2)]
+        rows.append((0, block, bytearray(b"".join(raw)), bytearray(np.array(list(map(len, raw)), "<u4").tobytes())))
+    table = spark.createDataFrame(rows, "bucket long, block long, words binary, lengths binary").coalesce(1)
     coder = rank_encoding(bpe.RANKS)
-    assert got == {w: coder.encode_ordinary(w) for w in corpus}
+    got = bpe.replayed(table, together=together).collect()
+    assert len(got) == len(rows)
+    for r, (_, block, data, lengths) in zip(sorted(got, key=lambda r: r.block), rows):
+        at, ids = 0, []
+        for n in np.frombuffer(lengths, "<u4").tolist():
+            ids.append(coder.encode_ordinary(data[at:at + n].decode()))
+            at += n
+        assert r.block == block
+        assert np.frombuffer(r.counts, "<u4").tolist() == list(map(len, ids))
+        assert np.frombuffer(r.ids, "<u4").tolist() == [x for own in ids for x in own]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1000])
+def test_buckets_keep_the_order_of_a_block_and_agree_between_blocks(spark, texts, buckets):
+    blocks = bpe.word_blocks(make(spark, texts).repartition(3), limit=5_000)
+    rows = bpe.in_buckets(blocks, buckets).collect()
+    bucket_of, listed = {}, {}
+    for r in sorted(rows, key=lambda r: r.bucket):
+        at = 0
+        for n in np.frombuffer(r.lengths, "<u4").tolist():
+            word = bytes(r.words[at:at + n])
+            assert bucket_of.setdefault(word, r.bucket) == r.bucket
+            listed.setdefault(r.block, []).append(word)
+            at += n
+    assert listed == {b.block: words_of(b.words, b.lengths) for b in blocks.collect() if b.n_words}
+    assert buckets == 1 or len(set(bucket_of.values())) > 1
 
 
 def test_a_full_table_starts_a_new_block():
@@ -75,11 +112,12 @@ def test_a_full_table_starts_a_new_block():
     assert [b["block"] for b in blocks] == list(range(10, 10 + len(blocks))) and len(blocks) > 1
     assert [i for b in blocks for i in b["doc_ids"]] == list(range(6))
     for b in blocks:
-        whole = b"".join(b["words"][k] for k in np.frombuffer(b["numbers"], "<u2").tolist()).decode()
+        listed = words_of(b["words"], b["lengths"])
+        whole = b"".join(listed[k] for k in bpe._unpacked(b["numbers"]).tolist()).decode()
         assert whole == "".join(parts[i] for i in b["doc_ids"])
 
 
-def test_many_distinct_words_take_wide_numbers(spark):
+def test_many_distinct_words(spark):
     text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(70_000))
     rows = bpe.encode_documents(make(spark, [(1, text), (2, "ab")])).collect()
     coder = rank_encoding(bpe.RANKS)
