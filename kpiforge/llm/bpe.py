@@ -20,9 +20,9 @@ a word the lowest rank is always merged first, leftmost first. Where a merge
 could create a pair of lower rank (known from the vocabulary beforehand), only
 the leftmost occurrence in each word is merged before the heap is asked again.
 
-The written blocks fix which document lies in which block, so a lost executor repeats a
-step with equal results. A task holds one block, or one slice of words
-and the words it has replayed, up to a bound (a forgotten word is replayed again).
+The blocks are written as a bucketed table, so only words and ids are shuffled. The table
+fixes which document lies in which block: a lost executor repeats a step with equal results. A task
+holds up to HOME_BLOCKS packed blocks and unpacks one at a time, or holds one slice of words and the words it has replayed, up to a bound (a forgotten word is replayed again).
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 texts of any length are encoded whole; repeated rows give repeated results; a
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import map_text, ship_package, stage
+from kpiforge.llm.common import map_text, ship_package, stage_in_buckets
 from kpiforge.llm.vocab import pattern, ranks
 from kpiforge.llm.wordblocks import (BLOCK_BYTES, BatchEncoder, blocks, chunk_spans, hash_spans, row_offsets,
                                      take_ranges)
@@ -52,6 +52,7 @@ from kpiforge.llm.wordblocks import (BLOCK_BYTES, BatchEncoder, blocks, chunk_sp
 BLOCK_TEXT = 16 << 20  # bytes of text in a block; a longer document is a block of its own
 SLICE_WORDS = 200_000  # words replayed together
 SLICE_BYTES = 2 << 20  # and their bytes; a longer row of words is a slice of its own
+HOME_BLOCKS = 8  # consecutive blocks of a task that stay together, in one file and one group
 BUCKET_WORDS = 1 << 17  # words of blocks in a bucket, on average
 FINISH_WORDS = 500_000  # words of a block turned to ids at a time; a longer document by itself
 RANKS = "byte_bpe_50k.tiktoken"
@@ -241,8 +242,9 @@ class WordLister:
             [pa.array([number], pa.int64()), pa.array([len(words)], pa.int64()), pa.ListArray.from_arrays(whole, ids),
              pa.array([_packed(np.concatenate(sizes))], pa.binary()), pa.array([_packed(place[of])], pa.binary()),
              pa.array([take_ranges(data, (end - length)[order], length[order]).tobytes()], pa.binary()),
-             pa.array([_packed(length[order])], pa.binary())],
-            ["block", "n_words", "doc_ids", "sizes", "numbers", "words", "lengths"])
+             pa.array([_packed(length[order])], pa.binary()),
+             pa.array([number // HOME_BLOCKS], pa.int64())],
+            ["block", "n_words", "doc_ids", "sizes", "numbers", "words", "lengths", "home"])
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -278,7 +280,7 @@ def decode(ids: np.ndarray, path: str = RANKS) -> tuple[bytes, np.ndarray]:
 
 
 def word_blocks(docs: DataFrame, limit: int = BLOCK_TEXT) -> DataFrame:
-    """One row per block of documents, written.
+    """One row per block of documents, written in buckets by home (the group of the block).
 
     block, n_words, doc_ids, sizes (words of each document), numbers (of all their words),
     words (distinct, one after the other, in the order of their hashes) and their lengths.
@@ -288,14 +290,21 @@ def word_blocks(docs: DataFrame, limit: int = BLOCK_TEXT) -> DataFrame:
         yield from WordLister().cut((x for x in batches if x.num_rows), first, limit)
 
     ship_package(docs.sparkSession)
-    return stage(docs.select("doc_id", "text").mapInArrow(
-        run, "block long, n_words long, doc_ids array<long>, sizes binary, numbers binary, words binary, lengths binary"),
-        "bpe-blocks")
+    cut = docs.select("doc_id", "text").mapInArrow(
+        run, "block long, n_words long, doc_ids array<long>, sizes binary, numbers binary, words binary, "
+             "lengths binary, home long")
+    return stage_in_buckets(cut, "bpe-blocks", _tasks(docs), "home")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a shuffle of few heavy rows, whose bytes say little of the work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def in_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, words, lengths): each block's words cut by equal ranges of the hash."""
+    """(bucket, block, words, lengths): each block's words cut by equal ranges of the hash, compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for block, words, lengths in zip(*(c.to_pylist() for c in batch.columns)):
                 length = _unpacked(lengths)
@@ -309,8 +318,8 @@ def in_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
                 at = cut.tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(cut) - 1, block)),
-                     pa.array([words[a:b] for a, b in zip(byte[:-1], byte[1:])], pa.binary()),
-                     pa.array([length[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                     pa.array([squeeze(words[a:b]) for a, b in zip(byte[:-1], byte[1:])], pa.binary()),
+                     pa.array([_packed(length[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())],
                     ["bucket", "block", "words", "lengths"])
 
     return blocks.select("block", "words", "lengths").mapInArrow(
@@ -329,21 +338,21 @@ def replayed(rows: DataFrame, path: str = RANKS, together: int = SLICE_WORDS) ->
             words = pa.LargeStringArray.from_buffers(
                 len(length), pa.py_buffer(edge.tobytes()), pa.py_buffer(b"".join(row[2] for row in held)))
             parts = [(counts, ids) for _, _, counts, _, ids in known.batch(words)]
-            counts, ids = (np.concatenate(x).astype("<u4") for x in zip(*parts))
+            counts, ids = (np.concatenate(x) for x in zip(*parts))
             place = np.concatenate([[0], np.cumsum([len(row[3]) for row in held])])
-            off = (np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[place] * 4).tolist()
-            sizes, raw, at = counts.tobytes(), ids.tobytes(), (place * 4).tolist()
+            off = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[place].tolist()
+            at = place.tolist()
             return pa.RecordBatch.from_arrays(
                 [pa.array([row[0] for row in held], pa.int64()), pa.array([row[1] for row in held], pa.int64()),
-                 pa.array([sizes[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                 pa.array([raw[a:b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
+                 pa.array([_packed(counts[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([_packed(ids[a:b]) for a, b in zip(off[:-1], off[1:])], pa.binary())],
                 ["bucket", "block", "counts", "ids"])
 
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         held, n, size = [], 0, 0
         for batch in batches:
             for bucket, block, words, lengths in zip(*batch.columns):
-                held.append((bucket.as_py(), block.as_py(), words.as_py(),
-                             np.frombuffer(lengths.as_py(), "<u4").astype(np.int64)))
+                held.append((bucket.as_py(), block.as_py(), unsqueeze(words.as_py()), _unpacked(lengths.as_py())))
                 n, size = n + len(held[-1][3]), size + len(held[-1][2])
                 if n >= together or size >= SLICE_BYTES:
                     yield encode(held)
@@ -357,36 +366,38 @@ def replayed(rows: DataFrame, path: str = RANKS, together: int = SLICE_WORDS) ->
 def corpus_encoded(docs: DataFrame, schema: str, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table],
                    path: str = RANKS, limit: int = BLOCK_TEXT, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """``finish`` of the documents of every block: (doc_ids, offsets of the documents' ids, their ids)."""
-    spark = docs.sparkSession
     blocks = word_blocks(docs, limit)
-    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows are few and heavy: their size says little
+    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(1, min(-(-n_words // bucket_words), 1 << 31))
-    dealt = in_buckets(blocks, buckets).repartition(min(buckets, tasks), "bucket").sortWithinPartitions("bucket")
-    sent = replayed(dealt, path).select("bucket", F.col("block").alias("home"), "counts", "ids")
-
-    def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        # a block is one row; its buckets come in any order
-        order = np.argsort(words["bucket"].to_numpy())
-        counts, flat = (np.frombuffer(b"".join([x[k].as_py() for k in order.tolist()]), "<u4")
-                        for x in (words["counts"], words["ids"]))
-        size = counts.astype(np.int64)
+    dealt = in_buckets(blocks, buckets).repartition(min(buckets, _tasks(docs)), "bucket").sortWithinPartitions("bucket")
+    sent = replayed(dealt, path).withColumn("to", F.floor(F.col("block") / HOME_BLOCKS))
+
+    def whole(block: dict, doc_ids: pa.Array, counts: list[bytes], ids: list[bytes]) -> Iterator[pa.Table]:
+        size, flat = (np.concatenate([np.zeros(0, np.int64), *map(_unpacked, x)]) for x in (counts, ids))
         begin = np.cumsum(size) - size
-        doc_ids = block["doc_ids"].combine_chunks().flatten()
-        of = _unpacked(block["numbers"][0].as_py())
-        last = np.concatenate([[0], np.cumsum(_unpacked(block["sizes"][0].as_py()))])
-        out, a = [], 0
+        of = _unpacked(block["numbers"])
+        last = np.concatenate([[0], np.cumsum(_unpacked(block["sizes"]))])
+        a = 0
         while a < len(doc_ids):
             b = max(a + 1, int(np.searchsorted(last, last[a] + FINISH_WORDS, "right")) - 1)
             part = of[last[a]:last[b]]
             total = np.concatenate([[0], np.cumsum(size[part])])
-            out.append(finish(doc_ids.slice(a, b - a), total[last[a:b + 1] - last[a]],
-                              take_ranges(flat, begin[part], size[part])))
+            yield finish(doc_ids.slice(a, b - a), total[last[a:b + 1] - last[a]], take_ranges(flat, begin[part], size[part]))
             a = b
+
+    def run(held: pa.Table, words: pa.Table) -> pa.Table:
+        # the buckets of a block come in any order; in theirs, they give the words in the order of the block's list
+        order = np.lexsort((words["bucket"].to_numpy(), words["block"].to_numpy()))
+        home = words["block"].to_numpy()[order]
+        out = []
+        for k, number in enumerate(held["block"].to_pylist()):
+            own = order[np.searchsorted(home, number):np.searchsorted(home, number, "right")].tolist()
+            out += whole({c: held[c][k].as_py() for c in ("numbers", "sizes")}, held["doc_ids"][k].values,
+                         [words["counts"][i].as_py() for i in own], [words["ids"][i].as_py() for i in own])
         return pa.concat_tables(out)
 
-    held = blocks.select("block", "doc_ids", "sizes", "numbers").repartition(max(1, min(n_blocks, tasks)), "block")
-    return held.groupBy("block").cogroup(sent.groupBy("home")).applyInArrow(run, schema)
+    held = blocks.select("home", "block", "doc_ids", "sizes", "numbers")
+    return held.groupBy("home").cogroup(sent.groupBy("to")).applyInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str = RANKS, limit: int = BLOCK_TEXT) -> DataFrame:

@@ -60,6 +60,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_in_buckets(df: DataFrame, label: str, buckets: int, column: str) -> DataFrame:
+    """Like ``stage``, in so many buckets by ``column``: grouping by it needs no shuffle of these rows."""
+    path = scratch_path(df.sparkSession, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    (df.write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(buckets, column).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def with_text(rows: DataFrame, names: list[str], text: Column) -> DataFrame:
     """The columns ``names`` of the struct ``row``, with another text; n_chars follows it where there is one."""
     rows = rows.select("row", text.alias("text"))

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from kpiforge.llm import bpe
@@ -72,19 +73,16 @@ def test_slices_of_the_corpus_give_the_same_ids(spark, together):
     rows = []
     for block in range(4):  # every block has half of the words
         raw = [w.encode() for w in rnd.sample(corpus, len(corpus) // 2)]
-        rows.append((0, block, bytearray(b"".join(raw)), bytearray(np.array(list(map(len, raw)), "<u4").tobytes())))
+        rows.append((0, block, bytearray(zstandard.compress(b"".join(raw))), bytearray(bpe._packed(np.array(list(map(len, raw)))))))
     table = spark.createDataFrame(rows, "bucket long, block long, words binary, lengths binary").coalesce(1)
     coder = rank_encoding(bpe.RANKS)
     got = bpe.replayed(table, together=together).collect()
     assert len(got) == len(rows)
     for r, (_, block, data, lengths) in zip(sorted(got, key=lambda r: r.block), rows):
-        at, ids = 0, []
-        for n in np.frombuffer(lengths, "<u4").tolist():
-            ids.append(coder.encode_ordinary(data[at:at + n].decode()))
-            at += n
+        ids = [coder.encode_ordinary(w.decode()) for w in words_of(zstandard.decompress(bytes(data)), bytes(lengths))]
         assert r.block == block
-        assert np.frombuffer(r.counts, "<u4").tolist() == list(map(len, ids))
-        assert np.frombuffer(r.ids, "<u4").tolist() == [x for own in ids for x in own]
+        assert bpe._unpacked(r.counts).tolist() == list(map(len, ids))
+        assert bpe._unpacked(r.ids).tolist() == [x for own in ids for x in own]
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 1000])
@@ -93,12 +91,9 @@ def test_buckets_keep_the_order_of_a_block_and_agree_between_blocks(spark, texts
     rows = bpe.in_buckets(blocks, buckets).collect()
     bucket_of, listed = {}, {}
     for r in sorted(rows, key=lambda r: r.bucket):
-        at = 0
-        for n in np.frombuffer(r.lengths, "<u4").tolist():
-            word = bytes(r.words[at:at + n])
+        for word in words_of(zstandard.decompress(bytes(r.words)), r.lengths):
             assert bucket_of.setdefault(word, r.bucket) == r.bucket
             listed.setdefault(r.block, []).append(word)
-            at += n
     assert listed == {b.block: words_of(b.words, b.lengths) for b in blocks.collect() if b.n_words}
     assert buckets == 1 or len(set(bucket_of.values())) > 1
 
@@ -130,3 +125,10 @@ def test_empty_table_and_clashing_columns(spark, texts):
     docs = make(spark, texts[:20])
     mine = docs.withColumns({c: F.lit(1) for c in ("block", "word", "words", "place", "ids", "numbers", "sizes", "doc_ids")})
     assert sorted(map(tuple, bpe.round_trip(mine).collect()), key=key) == expected(texts[:20])
+
+
+def test_blocks_are_not_shuffled(spark, texts, capsys):
+    bpe.round_trip(make(spark, texts).repartition(3), limit=5_000).explain("simple")
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
+    assert plan.count("Exchange hashpartitioning(to") == 1 and "hashpartitioning(home" not in plan
