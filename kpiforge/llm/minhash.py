@@ -8,10 +8,12 @@ all bins, the same for every document. Values are mixed with their bin's number
 and the lowest ``BITS`` bits of each are packed. Two fingerprints agree by chance in 2**-BITS of their bins, so the
 likeness is (agreement - chance) / (1 - chance), held to 0..1.
 
-Each document is also compared with the next one, in ascending order of
-doc_id. The table is cut into ranges of doc_id, and the first document of each
-range is sent to the range before it too, so one pass over each range in order
-sees every neighbour.
+Each document is also compared with the next one, in ascending order of doc_id,
+then of the hash of the text. The table is cut into ranges of these two, and the
+first row of each range is sent to the range before it too, so one pass over each
+range in order sees every neighbour. A doc_id with many texts spans several ranges;
+rows that are equal in both and would fill ranges of their own are counted first
+and pass as one row.
 
 Defined results: a text without words, null or empty, has the empty
 fingerprint, alike (1) to another empty one and unlike (0) any other; the
@@ -23,6 +25,7 @@ doc_id comes first; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +40,7 @@ from kpiforge.llm.wordblocks import BLOCK_BYTES, blocks, hash_spans, mix, word_s
 SHINGLE = 5
 BINS = 512
 BITS = 4
+SAMPLE = 50  # rows a range whose ids and hashes choose where ranges begin
 NO_ID = -(2**63)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xA0761D6478BD642F], np.uint64)
@@ -124,25 +128,65 @@ def likeness(a: np.ndarray, a_known: np.ndarray, b: np.ndarray, b_known: np.ndar
     return np.where(a_known & b_known, np.clip(raw, 0, 1), (a_known == b_known).astype(float))
 
 
-def _ranges(docs: DataFrame, parts: int) -> list[int]:
-    """Ascending doc_ids that begin ranges of about equal row counts; the smallest one is the first."""
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    row = docs.agg(F.min(key).alias("low"), F.percentile_approx(
-        key, [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("cuts")).first()
-    return sorted({row.low, *row.cuts}) if row.low is not None else []
+Pair = tuple[int, int]  # doc_id and hash of the text: what rows are ordered by
 
 
-def _range_of(key: Column, firsts: list[int]) -> Column:
-    """Index of the last range that begins at or before ``key``, by two levels of about sqrt(n) comparisons."""
+def _ranges(rows: DataFrame, parts: int) -> tuple[list[Pair], list[Pair]]:
+    """Ascending pairs of rows that begin ranges of about equal row counts, and the pairs that fill a range alone.
+
+    The first pair is the smallest one. The others come from a random sample of about
+    ``SAMPLE`` pairs for each range; which rows it holds sets the ranges, not the result.
+    """
+    least = rows.agg(F.min(F.struct("key", "rank")).alias("pair"), F.count("*").alias("n")).first()
+    if not least.n:
+        return [], []
+    sample = rows.select("key", "rank").sample(min(1.0, SAMPLE * parts / least.n), seed=8).collect()
+    pairs = sorted((r.key, r.rank) for r in sample)
+    step = max(1, len(pairs) // parts)
+    cuts = [tuple(least.pair), *pairs[step::step]]
+    firsts = sorted(set(cuts))
+    return firsts, [p for p, n in Counter(cuts).items() if n > 1]
+
+
+def _pairs(values: list[Pair]) -> Column:
+    return F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(r).cast("long").alias("rank"))
+                     for k, r in values])
+
+
+def _range_of(pair: Column, firsts: list[Pair]) -> Column:
+    """Index of the last range that begins at or before ``pair``, by two levels of about sqrt(n) comparisons."""
     step = max(1, int(len(firsts) ** 0.5))
     groups = [firsts[k:k + step] for k in range(0, len(firsts), step)]
+    group = F.size(F.filter(_pairs([g[0] for g in groups]), lambda x: x <= pair)) - 1
+    own = F.get(F.array(*[_pairs(g) for g in groups]), group)
+    return group * step + F.size(F.filter(own, lambda x: x <= pair)) - 1
+
 
-    def longs(values):
-        return F.array(*[F.lit(v).cast("long") for v in values])
+def _in_ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, bool]:
+    """(doc_id, text, guest, times) in order within ranges, one range a partition, and whether any times exceeds 1.
 
-    group = F.size(F.filter(longs([g[0] for g in groups]), lambda x: x <= key)) - 1
-    own = F.get(F.array(*[longs(g) for g in groups]), group)
-    return group * step + F.size(F.filter(own, lambda x: x <= key)) - 1
+    guest marks the first row of the next range, which comes last.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"),
+                       F.xxhash64(text).alias("rank"))
+    firsts, hot = _ranges(rows, parts)
+    n = max(1, len(firsts))
+    pair, once = F.struct("key", "rank"), F.lit(1).cast("long").alias("times")
+    if hot:
+        held = F.array_contains(_pairs(hot), pair)
+        counted = rows.where(held).groupBy("doc_id", "text", "key", "rank").agg(F.count("*").alias("times"))
+        rows = rows.where(~held).select("*", once).unionByName(counted)
+    else:
+        rows = rows.select("*", once)
+    rows = rows.withColumn("range", _range_of(pair, firsts or [(0, 0)]))
+    opens = F.coalesce(F.get(_pairs(firsts or [(0, 0)]), F.col("range")) == pair, F.lit(False))
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
+    guest = F.struct(((F.col("range") + n - 1) % n).cast("int").alias("range"), F.lit(True).alias("guest"))
+    rows = rows.withColumn("to", F.explode(F.when(opens, F.array(own, guest)).otherwise(F.array(own)))).select(
+        "doc_id", "text", "key", "rank", "times", "to.range", "to.guest")
+    rows = rows.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "key", "rank")
+    return rows.select("doc_id", "text", "guest", "times"), bool(hot)
 
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -158,19 +202,7 @@ def with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame
     """Fingerprints of every text and of its edited text: the last half of its
     code points replaced by the first as many of the next document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    firsts = _ranges(docs.select("doc_id"), parts)
-    n = max(1, len(firsts))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    rows = rows.withColumn("range", _range_of(F.col("key"), firsts or [0]))
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
-    guest = F.struct(((F.col("range") + n - 1) % n).cast("int").alias("range"), F.lit(True).alias("guest"))
-    opens = F.col("key").isin(firsts) if firsts else F.lit(False)
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(opens, F.array(own, guest)).otherwise(
-        F.array(own))).alias("to")).select("doc_id", "text", "key", "to.range", "to.guest")
-    rows = rows.repartitionById(n, F.col("range")).sortWithinPartitions(
-        "range", "guest", "key", F.xxhash64("text")).select("doc_id", "text", "guest")
+    rows, repeated = _in_ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row: doc_id, text, low bits, whether it has a word
@@ -181,8 +213,14 @@ def with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame
                 stop = guests.index(True) + 1 if True in guests else len(ids)  # the first guest ends the range
                 ids, texts = ids[:stop], texts[:stop]
                 low, known = sketches(pa.array(texts, pa.string()), bins, bits)
+                times = np.where(guests[:stop], 1, part.column(3).to_numpy()[:stop])
+                if (times > 1).any():  # all copies but the last are followed by a copy
+                    at = np.repeat(np.arange(stop), 1 + (times > 1))
+                    ids, texts, low, known = [ids[k] for k in at], [texts[k] for k in at], low[at], known[at]
+                    followed = np.append(at[:-1] == at[1:], False)
+                    times = np.where(followed, times[at] - 1, 1)
                 if held is not None:
-                    ids, texts = [held[0], *ids], [held[1], *texts]
+                    ids, texts, times = [held[0], *ids], [held[1], *texts], np.append(1, times)
                     low, known = np.vstack([held[2][None], low]), np.append(held[3], known)
                 edited = [_edited(a, b) for a, b in zip(texts[:-1], texts[1:])]
                 low2, known2 = sketches(pa.array(edited, pa.string()), bins, bits)
@@ -192,14 +230,17 @@ def with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame
                      pa.array(packed_text(low[:-1], known[:-1], bits), pa.string()),
                      pa.array(packed_text(low2, known2, bits), pa.string()),
                      pa.array(likeness(low[:-1], known[:-1], low2, known2, bits)),
-                     pa.array(likeness(low[:-1], known[:-1], low[1:], known[1:], bits))],
-                    [f.split()[0] for f in SCHEMA.split(", ")])
+                     pa.array(likeness(low[:-1], known[:-1], low[1:], known[1:], bits)),
+                     pa.array(times[:-1], pa.int64())], [*(f.split()[0] for f in SCHEMA.split(", ")), "times"])
                 if True in guests:
                     return
                 held = (ids[-1], texts[-1], low[-1], known[-1])
 
     ship_package(spark)
-    return rows.mapInArrow(run, SCHEMA)
+    found = rows.mapInArrow(run, f"{SCHEMA}, times long")
+    if repeated:
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("copy")
+    return found.drop("times")
 
 
 def _small(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

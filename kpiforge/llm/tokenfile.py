@@ -19,8 +19,10 @@ documents. Everything else covers every id of every document.
 
 Defined results: a null text is empty; an empty text has the end id alone; a
 text of any length is one frame; repeated rows are separate documents in
-ascending order of doc_id, then ids; a null doc_id comes first (stored as the
-smallest long); an empty table gives no segments and no rows; extra columns are ignored.
+ascending order of doc_id, then the hash of their ids; a null doc_id comes first
+(stored as the smallest long); an empty table gives no segments and no rows; extra
+columns are ignored. The rows of one doc_id, equal ones too, are dealt over several
+parts where they are many.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ SEGMENTS = ("part int, segment int, first_doc long, last_doc long, n_docs long,
 
 
 def write_files(tokens: DataFrame, path: str, dictionary: bytes, width: int, end_id: int = END_ID) -> None:
-    """Write the files of the format below ``path``, in ascending doc_id order."""
+    """Write the files of the format below ``path``, in ascending doc_id order; ``tokens`` is a written table."""
     spark = tokens.sparkSession
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, width, end_id, bytearray(dictionary))],
@@ -149,8 +151,11 @@ def write_files(tokens: DataFrame, path: str, dictionary: bytes, width: int, end
             yield flush()
 
     ship_package(spark)
-    ordered = tokens.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "ids").repartitionByRange(
-        "doc_id").sortWithinPartitions("doc_id", "ids")
+    # The place in the written table only tells equal rows apart, so that a range can end among them.
+    keys = ["doc_id", "rank", "place"]
+    ordered = tokens.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "ids",
+                            F.xxhash64("ids").alias("rank"), F.monotonically_increasing_id().alias("place"))
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "ids")
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(f"{path}/segments")
 
 
