@@ -35,20 +35,23 @@ def inner_join_split(left: DataFrame, right: DataFrame, key: str, heavy: DataFra
     where they are. Such rows take part in the shuffle of the other keys under a key of
     their own, drawn from the columns ``spread``, and so are dealt evenly. If ``right``
     repeats hot keys beyond ``HEAVY_ROWS`` rows, nothing is sent and the plain join is
-    left to AQE's splitting. All columns of both sides, the key once.
+    left to AQE's splitting. All columns of both sides, the key once. Keys are compared
+    as text, and a shuffled row holds its key once: as that text, or with its hot match.
     """
     more = [c for c in right.columns if c != key]
     if heavy.limit(HEAVY_ROWS + 1).count() > HEAVY_ROWS:
         return left.join(right, key)
-    sent = F.broadcast(heavy.select(F.col(key).alias("__hot_key"), F.struct(*more).alias("__hot")))
+    sent = F.broadcast(heavy.select(F.col(key).alias("__hot_key"), F.struct(key, *more).alias("__hot")))
     marked = left.where(F.col(key).isNotNull()).join(sent, F.col(key) == F.col("__hot_key"), "left")
-    is_hot = F.col("__hot_key").isNotNull()
-    marked = marked.withColumns({
-        "__key": F.when(is_hot, F.concat(F.lit("hot "), F.xxhash64(*spread).cast("string")))
-                  .otherwise(F.col(key).cast("string")),
-        "__side": F.when(is_hot, 1).otherwise(0)})
+    is_hot = F.col("__hot").isNotNull()
+    marked = marked.select(
+        *[c for c in left.columns if c != key], "__hot",
+        F.when(is_hot, F.concat(F.lit("hot "), F.xxhash64(*spread).cast("string")))
+         .otherwise(F.col(key).cast("string")).alias("__key"),
+        F.when(is_hot, 1).otherwise(0).alias("__side"))
     cold = right.select(F.col(key).cast("string").alias("__key"), F.lit(0).alias("__side"),
                         F.struct(*more).alias("__cold"))
-    both = marked.join(cold, ["__key", "__side"], "left").where("__hot_key IS NOT NULL OR __cold IS NOT NULL")
-    found = F.coalesce("__hot", "__cold")
-    return both.select(*left.columns, *[found[c].alias(c) for c in more])
+    both = marked.join(cold, ["__key", "__side"], "left").where("__hot IS NOT NULL OR __cold IS NOT NULL")
+    same = F.coalesce(F.col("__hot")[key].cast("string"), "__key").cast(left.schema[key].dataType)
+    return both.select(*[same.alias(c) if c == key else c for c in left.columns],
+                       *[F.coalesce(F.col("__hot")[c], F.col("__cold")[c]).alias(c) for c in more])

@@ -34,6 +34,11 @@ from kpiforge.session import checkpoint_root
 
 MAX_JOBS = 4  # tables written at the same time
 
+#: Rows of a file of the usage tables at most. The steps after them sort or combine the rows of a
+#: task in memory, and 128 MB of Parquet, the most a task reads, can hold ten million. A task
+#: reads 32 files at most (every file counts as 4 MB more), so under two million rows, whatever the size.
+ROWS_PER_FILE = {"_usage_with_account": 60_000, "fact_feature_usage": 60_000}
+
 
 @dataclass(frozen=True)
 class Step:
@@ -112,15 +117,20 @@ def closure(names: Iterable[str]) -> list[str]:
     return [n for n in STEPS if n in needed]
 
 
+def _write(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    (df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+     .parquet(path))
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Overwrite ``path`` with ``df`` (idempotent rebuild) and read it back."""
-    df.write.mode("overwrite").parquet(path)
+    _write(df, path)
     return df.sparkSession.read.parquet(path)
 
 
 def write_measured(df: DataFrame, path: str, name: str) -> tuple[DataFrame, Measured]:
     """``write_table``, with the rows and non-null keys counted by the tasks that write."""
-    counted = measure(df, checked_columns(name), lambda d: d.write.mode("overwrite").parquet(path))
+    counted = measure(df, checked_columns(name), lambda d: _write(d, path, ROWS_PER_FILE.get(name, 0)))
     return df.sparkSession.read.parquet(path), counted
 
 

@@ -181,6 +181,41 @@ def test_a_hot_key_is_dealt_to_all_partitions(spark):
     assert len(held) == 8 and max(held) < 2 * min(held) and sum(held) == 20_000
 
 
+def _shuffled_columns(df):
+    """Column names of every shuffle of a plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+    return found
+
+
+def test_a_row_of_the_split_join_is_shuffled_with_its_key_once(spark):
+    left = spark.range(3000).select((F.col("id") % 10).alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([(3, "a"), (4, None), (99, "z")], "k bigint, y string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = inner_join_split(left, right, "k", right.where("k = 3"), ["x"])
+        assert {"x", "__hot", "__key", "__side"} in _shuffled_columns(got)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.dtypes == [("k", "bigint"), ("x", "bigint"), ("y", "string")]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [
+        (i % 10, i, "a" if i % 10 == 3 else None) for i in range(3000) if i % 10 in (3, 4)]
+
+
+@pytest.mark.parametrize("name", ["_usage_with_account", "fact_feature_usage"])
+def test_files_of_the_usage_tables_hold_few_rows(spark, tmp_path, name):
+    usage = spark.range(150_000).coalesce(1).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("usage_id"))
+    df, counted = W.write_measured(usage, str(tmp_path), name)
+    held = [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+    assert max(held) <= 60_000 and sum(held) == counted.rows == 150_000
+
+
 # ------------------------------------------------------------ measured checks
 
 def test_measured_checks_equal_counted_ones(spark, tmp_path):
